@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import simhash
+from orrery.llm import mixing, simhash, tokens, toxicity
+from orrery.plans.materialize import shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_read(spark, sf_dir, "documents"))
 
 
+def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_read(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    tokens.write_tokens(_read(spark, sf_dir, "documents"), path, tokenizer_path())
+    return tokens.read_digests(spark.read.parquet(path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_pivotal_mixing": op2_pivotal_mixing,
+    "op4_toxicity": op4_toxicity,
+    "op7_token_shards": op7_token_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {}
