@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import mixing, simhash, tokens, toxicity
+from orrery.llm import decontamination, mixing, simhash, sql, tokens, toxicity
 from orrery.plans.materialize import shared_dir
 
 
@@ -29,6 +29,10 @@ def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -42,8 +46,11 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_pivotal_mixing": op2_pivotal_mixing,
+    "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op7_token_shards": op7_token_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": sql.DECONTAMINATION,
+}
