@@ -83,7 +83,8 @@ def found_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     hit = place.join(small(prefix, prefix.count()), "word").select("doc_id", "h", (F.col("pos") - F.col("at")).alias("start"), "len").where("start >= 0")
     starts = materialize(hit.distinct().groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "len")).alias("starts")))
     d, s = docs.select("doc_id", "h", "text"), starts.withColumnsRenamed({"doc_id": "s_id", "h": "s_h"})
-    both = d.join(s, d.doc_id.eqNullSafe(s.s_id) & (d.h == s.s_h)).select("doc_id", "h", words(F.col("text")).alias("w"), "starts")
+    # texts meet their few starts in a shuffle at every size; the starts are the hashed side
+    both = d.join(s.hint("shuffle_hash"), d.doc_id.eqNullSafe(s.s_id) & (d.h == s.s_h)).select("doc_id", "h", words(F.col("text")).alias("w"), "starts")
     fits = F.filter("starts", lambda c: c["start"] + c["len"] <= F.size("w"))
     cut = F.transform(fits, lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), F.slice(F.col("w"), c["start"] + 1, c["len"]).alias("win")))
     seen = both.select("doc_id", "h", F.explode(cut).alias("c")).select("doc_id", "h", "c.start", "c.len", "c.win")
