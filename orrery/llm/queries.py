@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import decontamination, langid, mixing, quality, simhash, sql, tokens, toxicity
+from orrery.llm import decontamination, langid, mixing, quality, sharding, simhash, sql, tokens, toxicity, urls
 from orrery.plans.materialize import shared_dir
 
 
@@ -51,6 +51,14 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_digests(spark.read.parquet(path))
 
 
+def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(_read(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_verdicts(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_pivotal_mixing": op2_pivotal_mixing,
@@ -59,8 +67,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_quality": op6_quality,
     "op7_token_shards": op7_token_shards,
+    "op9_kd_shards": op9_kd_shards,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": sql.DECONTAMINATION,
+    "op10_url_filter": sql.URL_FILTER,
 }
