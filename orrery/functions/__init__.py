@@ -1,0 +1,5 @@
+"""Column expressions."""
+
+from orrery.functions import scalar
+
+__all__ = ["scalar"]

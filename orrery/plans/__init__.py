@@ -1,6 +1,7 @@
-"""Plan helpers: materialised lineage cuts and distributed ranks."""
+"""Plan helpers: materialised lineage cuts, distributed ranks, the iterative loop."""
 
+from orrery.plans.iterate import iterate, partitioned
 from orrery.plans.materialize import materialize, release
 from orrery.plans.ranking import ranked, running_sum
 
-__all__ = ["materialize", "ranked", "release", "running_sum"]
+__all__ = ["iterate", "materialize", "partitioned", "ranked", "release", "running_sum"]

@@ -1,0 +1,5 @@
+"""Where relations and edges come from."""
+
+from orrery.sources import edges, relations
+
+__all__ = ["edges", "relations"]
