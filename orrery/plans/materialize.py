@@ -19,15 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_DIR
 
 
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
+def materialize(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and return a scan of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/orrery-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    df.write.parquet(path, compression=codec)
+    out = spark.read.schema(df.schema).parquet(path)
     out._orrery_path = path
     return out
 
