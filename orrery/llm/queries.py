@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import decontamination, langid, mixing, quality, sharding, simhash, sql, tokens, toxicity, urls
+from orrery.llm import decontamination, langid, lines, mixing, quality, sharding, simhash, sql, tokens, toxicity, urls
 from orrery.plans.materialize import shared_dir
 
 
@@ -51,6 +51,10 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_digests(spark.read.parquet(path))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_classes(_read(spark, sf_dir, "documents"))
+
+
 def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(_read(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_quality": op6_quality,
     "op7_token_shards": op7_token_shards,
+    "op8_line_dedup": op8_line_dedup,
     "op9_kd_shards": op9_kd_shards,
     "op10_url_filter": op10_url_filter,
 }
