@@ -92,17 +92,21 @@ def found_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return seen.join(small(wins, windows.count()), "win").distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: int = 2) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated (`least` items or more) of every document."""
-    of_items = materialize(item_windows(items, width))
+def matches(rows: DataFrame, of_items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n_hit) and (doc_id, h, n_items, names) of the documents that hold windows; rows is keyed."""
     windows = materialize(of_items.select("win").distinct())
-    rows = keyed(docs)
     found = materialize(found_windows(rows, windows))
     cover = found.select("doc_id", "h", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("pos")).distinct()
-    hits = cover.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n_hit"))
     named = of_items.select("win", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"))
     which = found.select("doc_id", "h", "win").distinct().join(small(named, of_items.count()), "win").select("doc_id", "h", "name").distinct()
-    lists = which.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
+    names = F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names")
+    return cover.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n_hit")), which.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n_items"), names)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: int = 2) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated (`least` items or more) of every document."""
+    rows = keyed(docs)
+    hits, lists = matches(rows, materialize(item_windows(items, width)))
     a, b = hits.withColumnsRenamed({"doc_id": "a_id", "h": "a_h"}), lists.withColumnsRenamed({"doc_id": "b_id", "h": "b_h"})
     marks = materialize(a.join(b, F.col("a_id").eqNullSafe(F.col("b_id")) & (F.col("a_h") == F.col("b_h"))).drop("b_id", "b_h"))
     n = F.regexp_count(lowered(F.col("text")), F.lit(WORD)).cast("long")
@@ -112,3 +116,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, least:
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), n_items.alias("n_items"),
         F.sha2(F.coalesce("names", F.lit("")), 256).alias("items_sha256"), (n_items >= least).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: int = 1) -> DataFrame:
+    """The documents that hold windows of fewer than `least` items, with their columns; `_bench_` is reserved."""
+    rows = docs.withColumn("_bench_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    _, which = matches(keyed(docs), materialize(item_windows(items, width)))
+    bad = which.where(F.col("n_items") >= least).select(F.col("doc_id").alias("_bench_id"), F.col("h").alias("_bench_bad"))
+    bad = materialize(bad)
+    on = F.col("doc_id").eqNullSafe(F.col("_bench_id")) & (F.col("_bench_h") == F.col("_bench_bad"))
+    return rows.join(small(bad, bad.count()), on, "left_anti").drop("_bench_h")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from orrery.plans import materialize, ranked
 
 MOST = 3
-LEAF_ROWS = 20_000
+LEAF_ROWS = 4_000
 FAN_BITS = 6
 EPS = 1e-9
 
@@ -101,7 +101,7 @@ def _rounded(keys: list[str], last: bool):
     """Rounds each node's rows; the row left over keeps its fraction unless `last`."""
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        size, p, u, whole = (t.column(c).to_pylist() for c in ("size", "_mix_p", "_mix_u", "_mix_whole"))
+        size, p, u, whole = (t.column(c).to_pylist() for c in ("_mix_size", "_mix_p", "_mix_u", "_mix_whole"))
         for i in range(len(p)):
             if not size[i]:
                 p[i] = float(u[i] < p[i])
@@ -132,17 +132,19 @@ def _rounded(keys: list[str], last: bool):
     return run
 
 
-def mix(docs: DataFrame, seed: int = 11, most: int = MOST) -> DataFrame:
-    """docs (doc_id, source, size, ...) with source_size, target and copies, one row for each document."""
-    sizes = materialize(docs.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")))
+def mix(docs: DataFrame, size: Column, seed: int = 11, most: int = MOST) -> DataFrame:
+    """docs (doc_id, source, ...) with _mix_size, _mix_total (its source's), _mix_target and _mix_copies."""
+    docs = docs.withColumn("_mix_size", size.cast("long"))
+    sizes = materialize(docs.groupBy("source").agg(F.sum("_mix_size").alias("size"), F.count(F.lit(1)).alias("rows")))
     # leaves of LEAF_ROWS rows or fewer, 2^bits for a source
     bits = F.greatest(F.ceil(F.log2(F.col("rows") / LEAF_ROWS) / FAN_BITS), F.lit(0)) * FAN_BITS
     rows = sizes.select(F.col("source").alias("_mix_source"), bits.cast("int").alias("_mix_bits"))
-    of = materialize(source_targets(sizes, most).join(rows, F.col("source").eqNullSafe(F.col("_mix_source"))).drop("source"))
+    of = source_targets(sizes, most).join(rows, F.col("source").eqNullSafe(F.col("_mix_source")))
+    of = materialize(of.select("_mix_source", "_mix_bits", F.col("source_size").alias("_mix_total"), F.col("target").alias("_mix_target")))
     level = of.agg(F.max("_mix_bits")).first()[0] or 0
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    draw = F.xxhash64(F.lit(seed), "doc_id", "size", "source")
-    hashed = F.xxhash64(F.lit(seed + 1), "doc_id", "size", "source")
+    share = F.when(F.col("_mix_total") > 0, F.col("_mix_target") / F.col("_mix_total")).otherwise(F.lit(0.0))
+    draw = F.xxhash64(F.lit(seed), "doc_id", "_mix_size", "source")
+    hashed = F.xxhash64(F.lit(seed + 1), "doc_id", "_mix_size", "source")
     # of has a row for each source: it is broadcast if it is small, else a hot source's rows are split
     leaf = (
         docs.join(of, F.col("source").eqNullSafe(F.col("_mix_source")))
@@ -157,7 +159,7 @@ def mix(docs: DataFrame, seed: int = 11, most: int = MOST) -> DataFrame:
     done: DataFrame | None = None
     while True:
         last = level == 0
-        ordered = leaf.repartition(parts, *keys).sortWithinPartitions(*keys, F.col("size").desc(), "doc_id", "_mix_u")
+        ordered = leaf.repartition(parts, *keys).sortWithinPartitions(*keys, F.col("_mix_size").desc(), "doc_id", "_mix_u")
         stage = materialize(ordered.mapInArrow(_rounded(keys, last), leaf.schema))
         settled = stage.where(F.col("_mix_copies").isNotNull())
         done = settled if done is None else done.union(settled)
@@ -165,17 +167,18 @@ def mix(docs: DataFrame, seed: int = 11, most: int = MOST) -> DataFrame:
             break
         level -= FAN_BITS
         leaf = stage.where(F.col("_mix_copies").isNull()).withColumn("_mix_node", F.shiftright("_mix_node", FAN_BITS))
-    return done.withColumn("copies", F.col("_mix_copies")).drop("_mix_whole", "_mix_p", "_mix_u", "_mix_node", "_mix_copies")
+    return done.drop("_mix_whole", "_mix_p", "_mix_u", "_mix_node")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs."""
-    own = docs.columns
-    taken = mix(docs.withColumn("size", n_words(F.col("text"))), seed)
-    return taken.where("copies > 0").select(*own, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_mix_copy")).drop("_mix_copy")
+    taken = mix(docs, n_words(F.col("text")), seed).where("_mix_copies > 0")
+    repeats = F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))).alias("_mix_copy")
+    return taken.select(*[F.col(c) for c in docs.columns], repeats).drop("_mix_copy")
 
 
 def mix_report(docs: DataFrame, seed: int = 11) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes, repeats counted)."""
-    taken = mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), seed)
-    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    taken = mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("words")), F.col("words"), seed)
+    words = F.col("_mix_size") * F.col("_mix_copies")
+    return taken.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_total").alias("source_size"), F.col("_mix_target").alias("target"), words.alias("taken"))

@@ -153,10 +153,11 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """Components of the links found so far among rows 0..n-1."""
+    """Components of the links found so far among rows 0..n-1, and the links that made them."""
 
     def __init__(self, n: int):
         self.root = np.arange(n)
+        self.made: list[tuple[np.ndarray, np.ndarray]] = []
 
     def link(self, i: np.ndarray, j: np.ndarray) -> None:
         while len(i):
@@ -165,7 +166,11 @@ class Forest:
             i, j, a, b = i[new], j[new], a[new], b[new]
             if not len(i):
                 return
-            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            order = np.lexsort((low, high))
+            first = order[np.concatenate([[True], np.diff(high[order]) != 0])]  # one link for each root that goes
+            self.root[high[first]] = low[first]
+            self.made.append((i[first], j[first]))
             while True:
                 up = self.root[self.root]
                 if np.array_equal(up, self.root):
@@ -173,16 +178,17 @@ class Forest:
                 self.root = up
 
 
-def search(cell: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
-    """Roots of a spanning forest of all pairs within `radius` inside each cell.
+def search(cell: np.ndarray, side: np.ndarray, fp: np.ndarray, radii: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of all pairs within the last of `radii` inside each cell, as two arrays of rows.
 
-    Rows are sorted by (cell, side, Gray rank); fp has a column for each 64 bits. A cell with one side is
+    The radii ascend, and pairs within a smaller one are linked first, so that any two rows of a tree are joined
+    over links about as short as the best way between them allows. Rows are sorted by (cell, side, Gray rank); fp has a column for each 64 bits. A cell with one side is
     searched against itself; in a cell with two, the first against the second.
     """
     n = len(cell)
     forest = Forest(n)
     if n < 2:
-        return forest.root
+        return cell[:0], cell[:0]
     group = np.concatenate([[0], np.cumsum((np.diff(cell) != 0) | (np.diff(side) != 0))])
     # levels from the leaves up: first child, number of children, shared mask and pattern, group
     levels = []
@@ -202,7 +208,13 @@ def search(cell: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> n
     alone = np.setdiff1d(np.arange(len(at)), np.concatenate([two, two + 1]))
     a, b = np.concatenate([alone, two]), np.concatenate([alone, two + 1])
     none = np.zeros((len(a), fp.shape[1]), dtype=np.uint64)
-    stack = [(at_level - 1, a, b, none, np.zeros(len(a), dtype=np.int32))]
+    for radius in radii:
+        _walk(levels, fp, forest, [(at_level - 1, a, b, none, np.zeros(len(a), dtype=np.int32))], radius)
+    made = forest.made
+    return (np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])) if made else (cell[:0], cell[:0])
+
+
+def _walk(levels: list, fp: np.ndarray, forest: Forest, stack: list, radius: int) -> None:
     while stack:
         level, a, b, seen, sofar = stack.pop()
         start, size, mask, pattern = levels[level]
@@ -212,36 +224,34 @@ def search(cell: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> n
         a, b, common, sofar = a[near], b[near], common[near], sofar[near]
         made = size[a] * size[b]
         ends = np.cumsum(made)
-        while len(a):
-            take = max(1, int(np.searchsorted(ends, PAIRS, side="right")))
-            if take < len(a):
-                stack.append((level, a[take:], b[take:], common[take:] * np.uint64(0), np.zeros(len(a) - take, dtype=np.int32)))
-                a, b, common, sofar, made = a[:take], b[:take], common[:take], sofar[:take], made[:take]
-            run, k = _span(made)
-            i, j = start[a][run] + k // size[b][run], start[b][run] + k % size[b][run]
-            use = (a[run] != b[run]) | ((i < j) if level == 0 else (i <= j))
-            i, j, run = i[use], j[use], run[use]
-            if level:
-                stack.append((level - 1, i, j, common[run], sofar[run]))
-            else:
-                rest = forest.root[i] != forest.root[j]
-                i, j = i[rest], j[rest]
-                near = _bits(fp[i] ^ fp[j]) <= radius
-                forest.link(i[near], j[near])
-            break
-    return forest.root
+        if not len(a):
+            continue
+        take = max(1, int(np.searchsorted(ends, PAIRS, side="right")))
+        if take < len(a):  # the rest later, counted anew
+            stack.append((level, a[take:], b[take:], common[take:] * np.uint64(0), np.zeros(len(a) - take, dtype=np.int32)))
+            a, b, common, sofar, made = a[:take], b[:take], common[:take], sofar[:take], made[:take]
+        run, k = _span(made)
+        i, j = start[a][run] + k // size[b][run], start[b][run] + k % size[b][run]
+        use = (a[run] != b[run]) | ((i < j) if level == 0 else (i <= j))
+        i, j, run = i[use], j[use], run[use]
+        if level:
+            stack.append((level - 1, i, j, common[run], sofar[run]))
+        else:
+            rest = forest.root[i] != forest.root[j]
+            i, j = i[rest], j[rest]
+            near = _bits(fp[i] ^ fp[j]) <= radius
+            forest.link(i[near], j[near])
 
 
-def linked(cells: DataFrame, radius: int) -> DataFrame:
+def linked(cells: DataFrame, radii: list[int]) -> DataFrame:
     """(src, dst) of a spanning forest of each cell's links; cells has cell, side, gray, id, fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(t: pa.Table) -> pa.RecordBatch:
             cell, side, ids = (t.column(c).to_numpy() for c in ("cell", "side", "id"))
             fp = _words(t.column("fp").combine_chunks()).copy().view(np.uint64)
-            root = search(cell, side, fp, radius)
-            moved = (root != np.arange(len(root))) & (ids != ids[root])
-            return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["src", "dst"])
+            i, j = search(cell, side, fp, radii)
+            return pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(ids[j], pa.int64())], ["src", "dst"])
 
         held: list[pa.RecordBatch] = []
         for b in batches:
@@ -288,19 +298,24 @@ def chunked(keys: DataFrame, hot: DataFrame, radius: int, width: int) -> DataFra
     return chunk.join(materialize(ends), ["key", "chunk"]).select("cell", "side", "gray", "id", "fp")
 
 
-def near_groups(nodes: DataFrame, tables: list[list[int]], radius: int, bits: int = 64) -> DataFrame:
-    """(id, component) of every node with a link; nodes has distinct id long and fp binary."""
+def near_links(nodes: DataFrame, tables: list[list[int]], radii: list[int], bits: int = 64) -> DataFrame:
+    """(src, dst) of links that connect all nodes within the last of `radii`; nodes has distinct id long and fp binary."""
     size = keyed(nodes, tables, whole=False).groupBy("key").count().where(F.col("count") > CELL_ROWS)
     hot = materialize(size.select("key"))
     keys = keyed(nodes, tables, whole=True)
     plain = keys if hot.isEmpty() else keys.join(hot, "key", "left_anti")
     cells = plain.select(F.col("key").alias("cell"), F.lit(0).alias("side"), "gray", "id", "fp")
     count = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = linked(cells.repartition(count, "cell").sortWithinPartitions("cell", "side", "gray"), radius)
+    found = linked(cells.repartition(count, "cell").sortWithinPartitions("cell", "side", "gray"), radii)
     if not hot.isEmpty():
-        more = chunked(keys, hot, radius, bits // 64)
-        found = found.union(linked(more.repartition(count, "cell").sortWithinPartitions("cell", "side", "gray"), radius))
-    found = materialize(found)
+        more = chunked(keys, hot, radii[-1], bits // 64)
+        found = found.union(linked(more.repartition(count, "cell").sortWithinPartitions("cell", "side", "gray"), radii))
+    return materialize(found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+
+
+def near_groups(nodes: DataFrame, tables: list[list[int]], radius: int) -> DataFrame:
+    """(id, component) of every node with a link."""
+    found = near_links(nodes, tables, [radius])
     out = components(found)
     release(found)
     return out
@@ -316,3 +331,93 @@ def simhash_groups(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFram
     smallest = materialize(least.groupBy("component").agg(F.min("least").alias("component_id")))
     label = materialize(materialize(least.select("id", "component")).join(smallest, "component").select("id", "component_id"))
     return fps.join(label, "id").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+# --- dropping near-duplicate documents ------------------------------------------------------------
+
+#: Fingerprints wide enough to tell a similarity of 0.8 from one well below it, and the radii tried in turn: at a
+#: Jaccard similarity of 0.8 about 0.15 of the bits differ, 45 of 256 or fewer almost surely.
+WIDE_BITS = 256
+WIDE_RADII = [16, 24, 32, 38, 42, 46]
+WIDE_SHARE = 0.15
+#: Documents whose texts or keys are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The links (src, dst) whose shingle sets (id, items: sorted hashes) have a Jaccard similarity of `least` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], ["src", "dst"])
+
+    a = sets.select(F.col("id").alias("src"), F.col("items").alias("a"))
+    b = sets.select(F.col("id").alias("dst"), F.col("items").alias("b"))
+    return links.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(id, items) of rows (id, text): the sorted hashes of the text's distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            items = [np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(t, width)], dtype="<u8")).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.binary())], ["id", "items"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, items binary")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """docs (doc_id, text, ...) without all but the first document, by doc_id, of each group of near-duplicates.
+
+    Candidates come from wide fingerprints of `width`-word shingles in tables of sampled bits, through the same
+    index; the links of a group's spanning forest, the shortest first, are then verified on whole shingle
+    sets. Texts with the same fingerprint are copies of each other; so are all texts without a word. Documents
+    that repeat doc_id and text are one document; of several texts under one doc_id the smallest hash comes first.
+    Names that begin with `_near_` are reserved.
+    """
+    h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.withColumn("_near_h", h)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [fingerprint(shingles(t, width), WIDE_BITS) for t in b.column(2).to_pylist()]
+            ids = np.array([xxhash.xxh64_intdigest(x) for x in fps], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids), pa.array(fps, pa.binary())], ["doc_id", "h", "id", "fp"])
+
+    texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_near_h").alias("h"), F.col("text").cast("string").alias("text"))
+    fps = materialize(texts.mapInArrow(mark, "doc_id long, h long, id long, fp binary"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
+    nodes = materialize(fps.groupBy("id").agg(F.first("fp").alias("fp"), first))
+    tables = sampled_tables(nodes.count(), WIDE_BITS, WIDE_SHARE)
+    links = near_links(nodes.select("id", "fp"), tables, WIDE_RADII, WIDE_BITS)
+    ends = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
+    held = nodes.join(ends, "id").select("id", F.col("first.doc_id").alias("k_id"), F.col("first.h").alias("k_h"))
+    held = materialize(held)
+    # a text of each fingerprint that has a link
+    own = texts.join(_few(held), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h"))).select("id", "text")
+    sets = materialize(shingle_sets(own, width).dropDuplicates(["id"]))
+    member = materialize(components(similar(links, sets, least)))
+    of = nodes.select("id", "first").join(member, "id", "left").select("id", "first", F.coalesce("component", "id").alias("group"))
+    of = materialize(of)
+    heads = materialize(of.groupBy("group").agg(F.min("first").alias("head")))
+    head = materialize(of.join(heads, "group").select("id", F.col("head.doc_id").alias("head_id"), F.col("head.h").alias("head_h")))
+    copies = fps.join(head, "id").where(~F.col("doc_id").eqNullSafe(F.col("head_id")) | (F.col("h") != F.col("head_h")))
+    gone = materialize(copies.select(F.col("doc_id").alias("_near_gone_id"), F.col("h").alias("_near_gone_h")).distinct())
+    kept = rows.join(_few(gone), F.col("doc_id").eqNullSafe(F.col("_near_gone_id")) & (F.col("_near_h") == F.col("_near_gone_h")), "left_anti")
+    again = fps.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("_near_gone_id"), F.col("h").alias("_near_gone_h"))
+    again = materialize(again)
+    if again.isEmpty():
+        return kept.drop("_near_h")
+    on = F.col("doc_id").eqNullSafe(F.col("_near_gone_id")) & (F.col("_near_h") == F.col("_near_gone_h"))
+    few = _few(again)
+    return kept.join(few, on, "left_anti").union(kept.join(few, on, "left_semi").dropDuplicates(["doc_id", "_near_h"])).drop("_near_h")
