@@ -15,6 +15,7 @@ from orrery.functions import scalar
 from orrery.operators import algorithms, graph, joins
 from orrery.operators.program import smallest_label
 from orrery.plans import materialize
+from orrery.plans.materialize import fresh_path
 from orrery.sources import edges as edge_sources
 from orrery.sources import relations
 
@@ -242,11 +243,8 @@ def edge_load(spark, sf_dir):
 @_query("edge_list_text", f"{_ALL} SELECT src, dst, weight FROM g")
 def edge_list_text(spark, sf_dir):
     """The derived edges written as a text file and read back by the loader."""
-    from orrery.plans.materialize import shared_dir
-
-    path = f"{shared_dir(spark).rstrip('/')}/edges-text"
-    rows = _edges(spark, sf_dir).select(F.concat_ws(" \t", "src", "dst", "weight").alias("value"))
-    rows.write.mode("overwrite").text(path)
+    path = fresh_path(spark, "edges")
+    _edges(spark, sf_dir).select(F.concat_ws(" \t", "src", "dst", "weight").alias("value")).write.text(path)
     return edge_sources.edge_list_text(spark, path)
 
 

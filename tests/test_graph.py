@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from orrery.operators import algorithms, graph
 from orrery.operators.components import components
 from orrery.operators.program import smallest_label
-from orrery.plans import ranked, running_sum
+from orrery.plans import materialize, ranked, release, running_sum, sweep
 from orrery.sources.edges import undirected
 
 EDGES = [(0, 1, 4), (0, 2, 1), (2, 1, 2), (1, 3, 1), (3, 0, 7), (2, 4, 5), (4, 4, 1), (5, 6, 3)]
@@ -127,3 +127,13 @@ def test_scatter_and_strides(spark):
     assert {r["v"]: r["total"] for r in algorithms.scatter_add(active, 4, 101).collect()} == {0: 0, 1: 203, 2: 2, 3: 306}
     memory = spark.range(16).select(F.col("id").alias("addr"), (F.col("id") * 10).alias("value"))
     assert algorithms.strided_sum(memory, 1, 10, 5, 15).first()["total"] == sum(((1 + 5 * i) & 15) * 10 for i in range(10))
+
+
+def test_tables_are_released_and_swept(spark, tmp_path):
+    table = materialize(spark.range(5))
+    assert table.count() == 5
+    other = materialize(table.where("id > 2"))
+    release(table)
+    assert other.count() == 2
+    assert sweep(spark) >= 1
+    assert sweep(spark) == 0
