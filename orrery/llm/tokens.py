@@ -8,7 +8,8 @@ with one row for each shard and
   keys      binary  int64 doc_ids in order, for listing (null as the smallest int64)
   levels    binary  uint32 count, then for each level uint32 words and its uint64 bitmap words
   slots     binary  for each slot of the hash: uint64 first id's place, uint32 ids, uint32 fingerprint
-  payload   binary  ids as little-endian unsigned 32-bit integers, nothing between documents
+  width     long    bytes of an id: 2 if the vocabulary has 65,536 ids or fewer, else 4
+  payload   binary  ids as little-endian unsigned integers of that width, nothing between documents
 A key's slot is the number of bits set before its own, over all levels; a key unlike any stored is told by the
 fingerprint, up to one in 2^32. The n-th repeat of a doc_id in a shard is a key of its own.
 
@@ -18,7 +19,10 @@ Null text is the empty text: only the end id. A null doc_id comes last. Other co
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,35 +35,109 @@ from orrery.plans import materialize, running_sum
 
 END = 1
 SHARD_BYTES = 4 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_200_000
+#: A run that ends in a letter (a-z or U+00C0 to U+00FF without the signs among them), then ASCII signs but for the apostrophe.
+TAILED = re.compile(rb"([a-z\x80-\xff]*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)").fullmatch
+#: Bytes of ASCII without the apostrophe and of U+00C0 to U+00FF; runs of letters and of others but white space in such a text.
+EASY = bytes(b for b in range(0xC0) if b != 39) + b"\xc3"
+RUNS = re.compile(rb"[a-z\x80-\xff]+|[^\sa-z\x80-\xff]+").findall
+#: Small letters: a-z and U+00DF to U+00FF without the sign among them.
+RUN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: How byte-level models write bytes that are no printable Latin-1 sign: code points from 256 on, in order.
+BYTE_SIGNS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
+#: What a tokenizer must encode alike whole and in parts to be taken word by word.
+PROBE = "Ab  cd,\nEf's zählt ÄRGER! über; 12x3 (ça) \t naïve... Ho-ho&& x"
 NO_ID = -(1 << 63)
-SHARD_SCHEMA = "shard long, first_id long, last_id long, n_docs long, n_tokens long, keys binary, levels binary, slots binary, payload binary"
+SHARD_SCHEMA = "shard long, first_id long, last_id long, n_docs long, n_tokens long, keys binary, levels binary, slots binary, width long, payload binary"
 SLOT = np.dtype([("at", "<u8"), ("ids", "<u4"), ("print", "<u4")])
 
 
 class Encoder:
-    """Ids of texts as bytes. The vocabulary drops white space, so words are encoded once and kept."""
+    """Ids of texts as bytes.
+
+    A tokenizer that drops white space, parts signs from letters and ignores case, as probes tell, encodes part
+    by part: each new part once, a word's tail of ASCII signs apart, and a run of small letters by the model
+    alone, since normalising and pre-tokenising leave such a run whole. Texts in which a special token or a
+    combining mark could be in play are not lower-cased here. Any other tokenizer gets whole texts.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[bytes, bytes] = {}
+        parts = [(w, *TAILED(w.encode()).groups()) for w in PROBE.lower().split() if TAILED(w.encode())]
+        self.by_word = self.plain(PROBE) == [i for w in PROBE.lower().split() for i in self.plain(w)]
+        self.by_word &= all(self.plain(w) == [*self.plain(run.decode()), *self.plain(tail.decode())] for w, run, tail in parts)
+        self.by_run = self.by_word and all(self.model(run) == self.pack(self.plain(run.decode())) for _, run, _ in parts if RUN(run))
+
+    def plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def pack(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder != "little":
+            out.byteswap()
+        return out.tobytes()
+
+    def model(self, run: bytes) -> bytes:
+        return self.pack([t.id for t in self.tokenizer.model.tokenize(run.decode("latin-1").translate(BYTE_SIGNS))])
+
+    def words(self, text: str | None) -> list[bytes]:
+        """Parts of the text between which the tokenizer always splits.
+
+        With nothing but ASCII other than the apostrophe and the letters of Latin-1, those are runs of letters and
+        runs of other signs; else words.
+        """
+        raw = text.encode() if text else b""
+        if b"<|" in raw:
+            return raw.split()
+        if not raw.translate(None, EASY) and b"\xc3\x97" not in raw and b"\xc3\xb7" not in raw:
+            return RUNS(text.lower().encode()) if raw else []
+        return raw.split() if b"\xcc" in raw or b"\xcd" in raw else raw.lower().split()
+
+    def learn(self, fresh: set[bytes]) -> None:
+        """Put the ids of new words into `known`."""
+        known, tails, runs = self.known, [], set()
+        for w in fresh:
+            m = TAILED(w)
+            if m:
+                tails.append((w, m[1], m[2]))
+                runs.update(m.groups())
+            else:
+                runs.add(w)
+        rest = []
+        for w in runs:
+            if w in known:
+                continue
+            if self.by_run and RUN(w):
+                known[w] = self.model(w)
+            else:
+                rest.append(w)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                known[w] = self.pack(e.ids)
+        for w, run, tail in tails:
+            known[w] = known[run] + known[tail]
 
     def encode(self, texts: list[str | None], end: int = END) -> list[bytes]:
-        split = [t.encode().split() if t else [] for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        fresh: dict[bytes, bytes] = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                fresh[w] = np.array(e.ids, dtype="<u4").tobytes()
-        if len(self.known) + len(fresh) > CACHED_WORDS:
-            self.known = {w: self.known[w] for words in split for w in words if w in self.known}
-        self.known.update(fresh)
-        known, stop = self.known, np.array([end], dtype="<u4").tobytes()
-        return [b"".join([known[w] for w in words]) + stop for words in split]
+        stop = self.pack([end])
+        if not self.by_word:
+            return [self.pack(e.ids) + stop for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        split, get = [self.words(t) for t in texts], self.known.get
+        found = [list(map(get, words)) for words in split]
+        missing = [k for k, ids in enumerate(found) if None in ids]
+        if missing:
+            self.learn({w for k in missing for w, ids in zip(split[k], found[k], strict=True) if ids is None})
+            for k in missing:
+                found[k] = list(map(get, split[k]))
+        return [b"".join(ids) + stop for ids in found]
 
 
 #: By path; one of each for a worker process, kept between its tasks.
@@ -134,19 +212,19 @@ def prints(keys: np.ndarray) -> np.ndarray:
     return (_mix64(keys, 3) >> np.uint64(32)).astype(np.uint32)
 
 
-def pack(shard: int, ids: list[int | None], encoded: list[bytes]) -> dict:
+def pack(shard: int, ids: list[int | None], encoded: list[bytes], width: int) -> dict:
     """A shard's row."""
     raw = np.array([NO_ID if i is None else i for i in ids], dtype="<i8")
     keys = index_keys(raw)
     levels = build_levels(keys)
-    length = np.array([len(e) // 4 for e in encoded], dtype=np.int64)
+    length = np.array([len(e) // width for e in encoded], dtype=np.int64)
     slots = np.zeros(len(keys), dtype=SLOT)
     at = slots_of(keys, levels)
     slots["at"][at], slots["ids"][at], slots["print"][at] = np.cumsum(length) - length, length, prints(keys)
     ends = (ids[0], ids[-1]) if None not in (ids[0], ids[-1]) else (None, None)
     return {
         "shard": shard, "first_id": ends[0], "last_id": ends[1], "n_docs": len(ids), "n_tokens": int(length.sum()),
-        "keys": raw.tobytes(), "levels": pack_levels(levels), "slots": slots.tobytes(), "payload": b"".join(encoded),
+        "keys": raw.tobytes(), "levels": pack_levels(levels), "slots": slots.tobytes(), "width": width, "payload": b"".join(encoded),
     }
 
 
@@ -159,7 +237,7 @@ def find(row, doc_id: int | None, repeat: int = 0) -> np.ndarray | None:
     s = np.frombuffer(row["slots"], SLOT)[slot]
     if s["print"] != prints(key)[0]:
         return None
-    return np.frombuffer(row["payload"], "<u4", int(s["ids"]), 4 * int(s["at"]))
+    return np.frombuffer(row["payload"], f"<u{row['width']}", int(s["ids"]), row["width"] * int(s["at"]))
 
 
 # --- writing and reading --------------------------------------------------------------------------
@@ -176,7 +254,7 @@ def encode_shards(docs: DataFrame, tokenizer: str, end: int = END, shard_bytes:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([pack(base + n, ids, held)], schema=schema)
+            return pa.RecordBatch.from_pylist([pack(base + n, ids, held, encoder.dtype.itemsize)], schema=schema)
 
         schema = pa.schema([(c, pa.binary() if k == "binary" else pa.int64()) for c, k in (x.split() for x in SHARD_SCHEMA.split(", "))])
         for whole in batches:
@@ -226,12 +304,12 @@ def read_digests(shards: DataFrame) -> DataFrame:
                 s = np.frombuffer(row["slots"], SLOT)[at]
                 if (at < 0).any() or (s["print"] != prints(keys)).any():
                     raise ValueError(f"shard {row['shard']}: a key is missing from its index")
-                view = memoryview(row["payload"])
-                crc = [zlib.crc32(view[4 * a : 4 * (a + n)]) for a, n in zip(s["at"].tolist(), s["ids"].tolist(), strict=True)]
+                view = np.frombuffer(row["payload"], f"<u{row['width']}").astype("<u4")
+                crc = [zlib.crc32(view[a : a + n]) for a, n in zip(s["at"].tolist(), s["ids"].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, mask=ids == NO_ID), pa.array(row["base"] + s["at"].astype(np.int64)), pa.array(s["ids"].astype(np.int64)), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    whole = shards.join(starts, "shard").select("shard", "base", "keys", "levels", "slots", "payload")
+    whole = shards.join(starts, "shard").select("shard", "base", "keys", "levels", "slots", "width", "payload")
     return whole.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
