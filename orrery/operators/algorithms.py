@@ -2,7 +2,8 @@
 
 Unreached vertices have NULL (or `unreached` where given). PageRank drops the mass of vertices without
 out-edges, so ranks add up to less than 1 where there are any. Components are weak and complete. Edges are
-taken as given; repeated ones count in PageRank and change nothing elsewhere.
+taken as given; repeated ones count in PageRank and change nothing elsewhere. `dense` (id) gives the vertices where
+they are more than 0 .. largest id of an edge.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ def _start(spark, source: int) -> DataFrame:
     return spark.range(source, source + 1).select("id", F.lit(0).cast("bigint").alias("depth"))
 
 
-def _over_vertices(edges: DataFrame, reached: DataFrame, value: str, unreached: int | None) -> DataFrame:
+def _over_vertices(edges: DataFrame, reached: DataFrame, value: str, unreached: int | None, dense: DataFrame | None) -> DataFrame:
+    every = graph.vertices(edges) if dense is None else dense
     got = F.col(value) if unreached is None else F.coalesce(value, F.lit(unreached).cast("bigint"))
-    return graph.vertices(edges).join(reached, "id", "left").select("id", got.alias(value))
+    return every.join(reached, "id", "left").select("id", got.alias(value))
 
 
 def bfs_step(edges: DataFrame, depths: DataFrame, level: int) -> DataFrame:
@@ -36,7 +38,7 @@ def bfs_step(edges: DataFrame, depths: DataFrame, level: int) -> DataFrame:
     return found.join(depths, "id", "left_anti").select("id", F.lit(level + 1).cast("bigint").alias("depth"))
 
 
-def bfs(edges: DataFrame, source: int, unreached: int | None = None) -> DataFrame:
+def bfs(edges: DataFrame, source: int, unreached: int | None = None, dense: DataFrame | None = None) -> DataFrame:
     """id, depth by level-synchronous push from `source` over unit edges."""
     kept = partitioned(edges.select("src", "dst"), "src")
     state = materialize(_start(edges.sparkSession, source))
@@ -46,7 +48,7 @@ def bfs(edges: DataFrame, source: int, unreached: int | None = None) -> DataFram
             found = kept.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
             new = materialize(found.join(state, "id", "left_anti").select("id", F.lit(level + 1).cast("bigint").alias("depth")))
             if new.isEmpty():
-                return _over_vertices(edges, state, "depth", unreached)
+                return _over_vertices(edges, state, "depth", unreached, dense)
             state, frontier, level = state.union(new), new, level + 1
             if level % 12 == 0:  # unions of many tables plan slowly
                 state = materialize(state)
@@ -54,11 +56,11 @@ def bfs(edges: DataFrame, source: int, unreached: int | None = None) -> DataFram
         kept.unpersist()
 
 
-def bfs_pull(edges: DataFrame, source: int, unreached: int | None = None) -> DataFrame:
+def bfs_pull(edges: DataFrame, source: int, unreached: int | None = None, dense: DataFrame | None = None) -> DataFrame:
     """id, depth: neighbours of what changed take the least depth over their in-edges; same fixpoint as bfs."""
     unit = partitioned(edges.select("src", "dst").distinct(), "dst")
-    dense = graph.vertices(edges)
-    first = dense.select("id", F.when(F.col("id") == source, 0).cast("bigint").alias("depth"), (F.col("id") == source).alias("active"))
+    every = graph.vertices(edges) if dense is None else dense
+    first = every.select("id", F.when(F.col("id") == source, 0).cast("bigint").alias("depth"), (F.col("id") == source).alias("active"))
 
     def step(state: DataFrame, _: int) -> DataFrame:
         senders = state.where("active").select(F.col("id").alias("src"))
@@ -75,7 +77,7 @@ def bfs_pull(edges: DataFrame, source: int, unreached: int | None = None) -> Dat
         unit.unpersist()
 
 
-def bfs_blocked(edges: DataFrame, source: int, block: int, unreached: int | None = None) -> DataFrame:
+def bfs_blocked(edges: DataFrame, source: int, block: int, unreached: int | None = None, dense: DataFrame | None = None) -> DataFrame:
     """id, depth over a grid: edges are laid out by block of source, and a frontier meets only its own blocks."""
     kept = partitioned(graph.with_blocks(edges, block).select("blk_x", "src", "dst"), "blk_x")
     state = materialize(_start(edges.sparkSession, source))
@@ -86,7 +88,7 @@ def bfs_blocked(edges: DataFrame, source: int, block: int, unreached: int | None
             found = kept.join(mine, ["blk_x", "src"]).select(F.col("dst").alias("id")).distinct()
             new = materialize(found.join(state, "id", "left_anti").select("id", F.lit(level + 1).cast("bigint").alias("depth")))
             if new.isEmpty():
-                return _over_vertices(edges, state, "depth", unreached)
+                return _over_vertices(edges, state, "depth", unreached, dense)
             state, frontier, level = state.union(new), new, level + 1
             if level % 12 == 0:
                 state = materialize(state)
@@ -99,18 +101,20 @@ def level_sizes(depths: DataFrame) -> DataFrame:
     return depths.where("depth is not null").groupBy("depth").agg(F.count(F.lit(1)).alias("size"))
 
 
-def sssp(edges: DataFrame, source: int, rounds: int | None = None) -> DataFrame:
+def sssp(edges: DataFrame, source: int, rounds: int | None = None, dense: DataFrame | None = None) -> DataFrame:
     """id, distance over non-negative `weight`; NULL where there is no path."""
-    first = graph.vertices(edges).select(
+    every = graph.vertices(edges) if dense is None else dense
+    first = every.select(
         "id", F.when(F.col("id") == source, 0).cast("bigint").alias("value"), (F.col("id") == source).alias("active")
     )
     return shortest().run(edges, first, rounds).withColumnRenamed("value", "distance")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, dense: DataFrame | None = None) -> DataFrame:
     """id, component of every vertex: the smallest id that it is weakly connected to."""
     found = components(edges)
-    return graph.vertices(edges).join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    every = graph.vertices(edges) if dense is None else dense
+    return every.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:
@@ -118,17 +122,24 @@ def component_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
-def _with_out_degree(edges: DataFrame) -> DataFrame:
-    return materialize(graph.degrees(edges).select("id", F.col("out_deg").alias("deg")))
+def _with_out_degree(edges: DataFrame, dense: DataFrame | None) -> DataFrame:
+    return materialize(graph.degrees(edges, dense).select("id", F.col("out_deg").alias("deg")))
 
 
-def pagerank(edges: DataFrame, rounds: int = 19, tolerance: float | None = 0.001, damping: float = DAMPING, trace: list | None = None) -> DataFrame:
+def pagerank(
+    edges: DataFrame,
+    rounds: int = 19,
+    tolerance: float | None = 0.001,
+    damping: float = DAMPING,
+    trace: list | None = None,
+    dense: DataFrame | None = None,
+) -> DataFrame:
     """id, rank: (1 - d) / n + d * sum of rank / out-degree over in-edges, from 1 / n.
 
     Stops after `rounds`, or once the ranks change by less than `tolerance` in sum; `trace` gets each round's
     change. Rank over degree is computed once a vertex, not once an edge.
     """
-    deg = _with_out_degree(edges)
+    deg = _with_out_degree(edges, dense)
     n = deg.count()
     if not n:
         return deg.select("id", F.lit(0.0).alias("rank"))
@@ -156,22 +167,22 @@ def pagerank(edges: DataFrame, rounds: int = 19, tolerance: float | None = 0.001
         release(deg)
 
 
-def pagerank_blocked(edges: DataFrame, block: int, rounds: int = 19, tolerance: float | None = 0.001) -> DataFrame:
+def pagerank_blocked(edges: DataFrame, block: int, rounds: int = 19, tolerance: float | None = 0.001, dense: DataFrame | None = None) -> DataFrame:
     """pagerank over the densest column's edges and the residual edges, put together again."""
     y = graph.densest_column(edges, block)
-    return pagerank(graph.residual_split(edges, block, y).unionAll(graph.column_split(edges, block, y)), rounds, tolerance)
+    return pagerank(graph.residual_split(edges, block, y).unionAll(graph.column_split(edges, block, y)), rounds, tolerance, dense=dense)
 
 
-def pagerank_errors(edges: DataFrame, rounds: int = 19) -> DataFrame:
+def pagerank_errors(edges: DataFrame, rounds: int = 19, dense: DataFrame | None = None) -> DataFrame:
     """round, error: the sum of changes in each of `rounds` rounds."""
     trace: list[float] = []
-    pagerank(edges, rounds, None, trace=trace)
+    pagerank(edges, rounds, None, trace=trace, dense=dense)
     return edges.sparkSession.createDataFrame(list(enumerate(trace, 1)), "round bigint, error double")
 
 
-def pagerank_fixed(edges: DataFrame, rounds: int, bits: int = 23, damping: float = DAMPING) -> DataFrame:
+def pagerank_fixed(edges: DataFrame, rounds: int, bits: int = 23, damping: float = DAMPING, dense: DataFrame | None = None) -> DataFrame:
     """id, score: PageRank in integers scaled by 2^bits, with integer division by degree and (108 t) >> 7."""
-    deg = _with_out_degree(edges)
+    deg = _with_out_degree(edges, dense)
     n = max(deg.count(), 1)
     kept = partitioned(edges.select("src", "dst"), "src")
     scale = float(1 << bits)

@@ -12,7 +12,7 @@ EDGES = [(0, 1, 4), (0, 2, 1), (2, 1, 2), (1, 3, 1), (3, 0, 7), (2, 4, 5), (4, 4
 
 @pytest.fixture(scope="module")
 def tiny(spark):
-    """tiny8 with its isolated vertex 7, kept in range by a loop that the tests drop again where it counts."""
+    """Eight edges over 0 .. 6."""
     return spark.createDataFrame(EDGES, "src bigint, dst bigint, weight bigint").cache()
 
 
@@ -65,33 +65,38 @@ def test_components(spark, tiny):
     assert {got[i] for i in range(999, 1200)} == {999}
 
 
-@pytest.fixture(scope="module")
-def tiny_with_7(spark):
-    """A loop on 7 would change its degree, so vertex 7 hangs on a vertex without rank of its own: none."""
-    return spark.createDataFrame([e[:2] for e in EDGES], "src bigint, dst bigint")
-
-
-def test_pagerank_drops_dangling_mass(tiny_with_7):
-    n = 7  # without the isolated vertex
-    rank = {i: 1 / n for i in range(n)}
-    out = {i: sum(e[0] == i for e in EDGES) for i in range(n)}
-    for _ in range(3):
-        rank = {i: 0.15 / n + 0.85 * sum(rank[s] / out[s] for s, d, _ in EDGES if d == i) for i in range(n)}
-    got = values(algorithms.pagerank(tiny_with_7, 3, None), "rank")
-    assert all(abs(got[i] - rank[i]) < 1e-12 for i in range(n))
-    assert sum(got.values()) < 1
-    blocked = values(algorithms.pagerank_blocked(tiny_with_7, 2, 3, None), "rank")
-    assert all(abs(blocked[i] - rank[i]) < 1e-12 for i in range(n))
-    errors = [r["error"] for r in algorithms.pagerank_errors(tiny_with_7, 3).orderBy("round").collect()]
-    assert errors[0] > errors[1] > errors[2] > 0
-
-
-def test_pagerank_fixed(tiny_with_7):
-    n, score = 7, {i: int(1 / 7 * 2**23) for i in range(7)}
-    out = {i: sum(e[0] == i for e in EDGES) for i in range(n)}
-    for _ in range(2):
-        score = {i: int((1 - 0.85) / n * 2**23) + (108 * sum(score[s] // out[s] for s, d, _ in EDGES if d == i) >> 7) for i in range(n)}
-    assert values(algorithms.pagerank_fixed(tiny_with_7, 2), "score") == score
+def test_isolated_vertices(tiny, dense8):
+    assert values(algorithms.bfs(tiny, 0, dense=dense8), "depth") == {0: 0, 1: 1, 2: 1, 3: 2, 4: 2, 5: None, 6: None, 7: None}
+    assert values(algorithms.bfs_pull(tiny, 0, dense=dense8), "depth")[7] is None
+    assert values(algorithms.sssp(tiny, 0, dense=dense8), "distance")[7] is None
+    assert values(algorithms.connected_components(tiny, dense8), "component") == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5, 6: 5, 7: 7}
+
+
+RANKS = {
+    1: [0.125, 0.125, 0.071875, 0.125, 0.178125, 0.01875, 0.125, 0.01875],
+    2: [0.125, 0.102421875, 0.071875, 0.125, 0.200703125, 0.01875, 0.0346875, 0.01875],
+    3: [0.125, 0.102421875, 0.071875, 0.105808594, 0.219894531, 0.01875, 0.0346875, 0.01875],
+}
+
+
+@pytest.mark.parametrize("rounds", RANKS)
+def test_pagerank_drops_dangling_mass(tiny, dense8, rounds):
+    got = values(algorithms.pagerank(tiny, rounds, None, dense=dense8), "rank")
+    assert [got[i] for i in range(8)] == pytest.approx(RANKS[rounds], abs=1e-9)
+    blocked = values(algorithms.pagerank_blocked(tiny, 2, rounds, None, dense=dense8), "rank")
+    assert [blocked[i] for i in range(8)] == pytest.approx(RANKS[rounds], abs=1e-9)
+
+
+def test_pagerank_errors(tiny, dense8):
+    errors = [r["error"] for r in algorithms.pagerank_errors(tiny, 2, dense=dense8).orderBy("round").collect()]
+    assert errors == pytest.approx([0.31875, 0.13546875])
+
+
+def test_pagerank_fixed(tiny, dense8):
+    one = values(algorithms.pagerank_fixed(tiny, 1, dense=dense8), "score")
+    assert [one[i] for i in range(8)] == [1042022, 1042022, 599654, 1042022, 1484390, 157286, 1042022, 157286]
+    two = values(algorithms.pagerank_fixed(tiny, 2, dense=dense8), "score")
+    assert [two[i] for i in range(8)] == [1036492, 849868, 596889, 1036492, 1662719, 157286, 289996, 157286]
 
 
 def test_padding(tiny):
