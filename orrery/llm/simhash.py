@@ -182,8 +182,9 @@ def search(cell: np.ndarray, side: np.ndarray, fp: np.ndarray, radii: list[int])
     """A spanning forest of all pairs within the last of `radii` inside each cell, as two arrays of rows.
 
     The radii ascend, and pairs within a smaller one are linked first, so that any two rows of a tree are joined
-    over links about as short as the best way between them allows. Rows are sorted by (cell, side, Gray rank); fp has a column for each 64 bits. A cell with one side is
-    searched against itself; in a cell with two, the first against the second.
+    over links about as short as the best way between them allows. Rows are sorted by (cell, side, Gray rank); fp
+    has a column for each 64 bits. A cell with one side is searched against itself; in a cell with two, the first
+    against the second.
     """
     n = len(cell)
     forest = Forest(n)
