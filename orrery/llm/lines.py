@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators.components import components
@@ -42,61 +42,87 @@ def parity(line: str) -> int:
     return int(np.bitwise_or.reduce(np.uint64(1) << odd.astype(np.uint64), initial=np.uint64(0)))
 
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line, h1, h2 (hash), len, sig of every line that is not blank; blank ones have a null line."""
+def split_lines(docs: DataFrame, whole: bool = True) -> DataFrame:
+    """doc_id, line_no, h1, h2 (hash) and blank of every line; with `whole` also line, len and sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                b = whole.slice(start, 512)
+        for every in batches:
+            for start in range(0, every.num_rows, 512):
+                b = every.slice(start, 512)
                 ids, place, lines = [], [], []
                 for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     parts = (text or "").split("\n")
                     ids += [i] * len(parts)
                     place += range(len(parts))
-                    lines += [p if p.strip(" \t\x0b\x0c\r") else None for p in parts]
-                hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) if x else bytes(16) for x in lines), dtype="<i8").reshape(-1, 2)
-                sig = np.array([parity(x) if x and len(x) >= LEAST else 0 for x in lines], dtype=np.uint64).view(np.int64)
-                size = [len(x) if x else 0 for x in lines]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(place, pa.int32()), pa.array(lines, pa.string()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(size, pa.int32()), pa.array(sig)],
-                    ["doc_id", "line_no", "line", "h1", "h2", "len", "sig"],
-                )
+                    lines += [p if p.strip(" \t\x0b\x0c\r") else "" for p in parts]
+                hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), dtype="<i8").reshape(-1, 2)
+                columns = {"doc_id": pa.array(ids, pa.int64()), "line_no": pa.array(place, pa.int32()), "h1": pa.array(hashes[:, 0]), "h2": pa.array(hashes[:, 1])}
+                columns["blank"] = pa.array([not x for x in lines], pa.bool_())
+                if whole:
+                    sig = np.array([parity(x) if len(x) >= LEAST else 0 for x in lines], dtype=np.uint64).view(np.int64)
+                    columns |= {"line": pa.array(lines, pa.string()), "len": pa.array([len(x) for x in lines], pa.int32()), "sig": pa.array(sig)}
+                yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, line_no int, line string, h1 long, h2 long, len int, sig long")
+    return rows.mapInArrow(run, "doc_id long, line_no int, h1 long, h2 long, blank boolean" + (", line string, len int, sig long" if whole else ""))
 
 
-def _segment(n: Column, i: int, tau: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i (from 0) of a line of n characters."""
-    parts = tau + 1
-    short = F.floor(n / parts).cast("int")
-    fewer = parts - n % parts  # so many short ones come first
-    start = F.lit(i) * short + F.greatest(F.lit(i) - fewer, F.lit(0)) + 1
-    return start, short + (F.lit(i) >= fewer).cast("int")
+def segment(n: int, i: int, tau: int) -> tuple[int, int]:
+    """Start and length of segment i of a line of n characters; the short ones come first."""
+    short, longer = divmod(n, tau + 1)
+    late = max(0, i - (tau + 1 - longer))
+    return i * short + late, short + (i >= tau + 1 - longer)
 
 
-def index_keys(tau: int = TAU) -> Column:
-    n = F.col("len")
-    keys = []
-    for i in range(tau + 1):
-        start, size = _segment(n, i, tau)
-        keys.append(F.xxhash64(n, F.lit(i), F.substring("line", start, size)))
-    return F.array(*keys)
+def index_places(n: int, tau: int) -> list[tuple[int, int, int, int]]:
+    """(length, segment, start, end) under which a line of n characters is indexed."""
+    return [(n, i, a, a + size) for i in range(tau + 1) for a, size in [segment(n, i, tau)]]
 
 
-def probe_keys(tau: int = TAU) -> Column:
-    keys = []
+def probe_places(n: int, tau: int) -> list[tuple[int, int, int, int]]:
+    """(length, segment, start, end) that a line of n characters probes.
+
+    With at most i edits before segment i and tau - i after it, it is shifted by no more than that, counted
+    from the front and from the back.
+    """
+    out = []
     for less in range(tau + 1):
-        n = F.col("len") - less
         for i in range(tau + 1):
-            start, size = _segment(n, i, tau)
-            # at most i edits before the segment and tau - i after it
+            a, size = segment(n - less, i, tau)
             for shift in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1):
-                at = start + shift
-                fits = (at >= 1) & (at + size - 1 <= F.col("len"))
-                keys.append(F.when(fits, F.xxhash64(n, F.lit(i), F.substring("line", at, size))))
-    return F.array_compact(F.array(*keys))
+                if 0 <= a + shift and a + shift + size <= n:
+                    out.append((n - less, i, a + shift, a + shift + size))
+    return out
+
+
+def segment_keys(lines: DataFrame, tau: int, probe: bool) -> DataFrame:
+    """key, id, len, sig: a row for each place under which a line is indexed, or that it probes."""
+    places = probe_places if probe else index_places
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple[list[tuple[int, int]], np.ndarray]] = {}  # by length: slices, and what tells them apart
+        for every in batches:
+            for start in range(0, every.num_rows, 4096):
+                b = every.slice(start, 4096)
+                hashes: list[int] = []
+                salts, times = [], []
+                for line in b.column(1).to_pylist():
+                    n = len(line)
+                    if n not in known:
+                        if len(known) > 20_000:
+                            known.clear()
+                        at = places(n, tau)
+                        salt = np.array([length * (tau + 1) + i for length, i, _, _ in at], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                        known[n] = [(a, z) for _, _, a, z in at], salt
+                    cut, salt = known[n]
+                    hashes += [xxhash.xxh3_64_intdigest(line[a:z]) for a, z in cut]
+                    salts.append(salt)
+                    times.append(len(cut))
+                key = np.array(hashes, dtype=np.uint64) ^ np.concatenate(salts) if salts else np.zeros(0, np.uint64)
+                again = pa.array(np.repeat(np.arange(b.num_rows), times))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(b.column(c).take(again) for c in ("id", "len", "sig"))], ["key", "id", "len", "sig"])
+
+    return lines.select("id", "line", "len", "sig").mapInArrow(run, "key long, id long, len int, sig long")
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -170,8 +196,8 @@ def verified(pairs: DataFrame, most: int = TAU) -> DataFrame:
 def near_lines(lines: DataFrame, tau: int = TAU) -> DataFrame:
     """(a, b) of all lines within tau edits, a < b; lines has id, line, len and sig, with distinct texts."""
     long = lines.where(F.col("len") >= max(LEAST, tau + 1))
-    index = long.select(F.explode(index_keys(tau)).alias("i_key"), F.col("id").alias("i"), F.col("len").alias("i_len"), F.col("sig").alias("i_sig"))
-    probe = long.select(F.explode(probe_keys(tau)).alias("p_key"), F.col("id").alias("p"), F.col("len").alias("p_len"), F.col("sig").alias("p_sig"))
+    index = segment_keys(long, tau, False).toDF("i_key", "i", "i_len", "i_sig")
+    probe = segment_keys(long, tau, True).toDF("p_key", "p", "p_len", "p_sig")
     shorter = (F.col("i_len") < F.col("p_len")) | ((F.col("i_len") == F.col("p_len")) & (F.col("i") < F.col("p")))
     close = (F.col("p_len") - F.col("i_len") <= tau) & (F.bit_count(F.col("i_sig").bitwiseXOR(F.col("p_sig"))) <= 4 * tau)
     # both sides are plain shuffles, so that a segment of many lines can be split
@@ -190,8 +216,7 @@ def line_classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
     A class's name is its first line in order of doc_id and line_no, and only that is kept. n_links counts the
     other texts within tau edits. Blank lines are kept and are classes of their own.
     """
-    every = split_lines(docs)
-    full = every.where("line is not null")
+    full = split_lines(docs).where("not blank")
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
     grouped = full.groupBy("h1", "h2").agg(first, F.first("line").alias("line"), F.first("len").alias("len"), F.first("sig").alias("sig"))
     lines = materialize(grouped.withColumn("id", F.monotonically_increasing_id()), codec="zstd")
@@ -202,7 +227,7 @@ def line_classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
     named = materialize(named.select("h1", "h2", F.coalesce("component", "id").alias("class"), "first", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     heads = materialize(named.groupBy("class").agg(F.min("first").alias("head")))
     of_text = materialize(named.join(heads, "class").select("h1", "h2", "head", "n_links"))
-    places = materialize(every.select("doc_id", "line_no", "h1", "h2", F.col("line").isNull().alias("blank")))
+    places = materialize(split_lines(docs, whole=False))
     own = F.struct("doc_id", "line_no")
     known = places.where("not blank").join(of_text, ["h1", "h2"]).select("doc_id", "line_no", "head", "n_links")
     blank = places.where("blank").select("doc_id", "line_no", own.alias("head"), F.lit(0).cast("long").alias("n_links"))
