@@ -14,19 +14,18 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     Weak connectivity; NULL endpoints are dropped. Each round every vertex moves to the neighbour with
     the smallest seeded hash (itself included), edges follow, loops vanish. An edge (x, m(x)) becomes
     (m(x), m(m(x))), so no connection is lost, and a constant share of the vertices goes in each round
-    whatever the shape: paths and stars take O(log n) rounds. Minima are pre-aggregated before the
-    shuffle and joined from written tables, so a hub's rows can be split by adaptive skew handling.
+    whatever the shape: paths and stars take O(log n) rounds. The rounds' moves, each a table smaller than the
+    one before, are put together at the end. Minima are pre-aggregated before the shuffle and joined from
+    written tables, so a hub's rows can be split by adaptive skew handling.
     """
     a, b = F.col(src), F.col(dst)
     live = materialize(
         edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
     )
-    labels = materialize(live.select(F.col("u").alias("id")).union(live.select("v")).distinct().withColumn("label", F.col("id")))
-    turn = 0
+    hops: list[DataFrame] = []
     while not live.isEmpty():
-        turn += 1
 
-        def rank(c: str, salt: int = turn):
+        def rank(c: str, salt: int = len(hops)):
             return F.struct(F.xxhash64(F.lit(salt), F.col(c)).alias("h"), F.col(c).alias("x"))
 
         both = live.select(F.col("u").alias("from"), rank("v").alias("to")).union(live.select("v", rank("u")))
@@ -36,9 +35,19 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         at_v = hop.select(F.col("from").alias("v"), F.col("to").alias("mv"))
         moved = live.join(at_u, "u").join(at_v, "v").where("mu <> mv")
         after = materialize(moved.select(F.least("mu", "mv").alias("u"), F.greatest("mu", "mv").alias("v")).distinct())
-        at_l = hop.select(F.col("from").alias("label"), "to")
-        relabelled = materialize(labels.join(at_l, "label", "left").select("id", F.coalesce("to", "label").alias("label")))
-        release(live, labels, hop)
-        live, labels = after, relabelled
+        release(live)
+        hops.append(hop)
+        live = after
+    if not hops:
+        return live.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    # from the last, smallest hop back to the first: each vertex is followed to where it ends
+    end = hops[-1]
+    for turn, hop in enumerate(reversed(hops[:-1]), 1):
+        on = end.select(F.col("from").alias("to"), F.col("to").alias("then"))
+        end = hop.join(on, "to", "left").select("from", F.coalesce("then", "to").alias("to"))
+        if turn % 4 == 0:
+            end = materialize(end)
+    labels = materialize(end.select(F.col("from").alias("id"), F.col("to").alias("label")))
+    release(*hops)
     least = materialize(labels.groupBy("label").agg(F.min("id").alias("component")))
     return labels.join(least, "label").select("id", "component")
