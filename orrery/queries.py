@@ -160,7 +160,7 @@ def relation_permuted(spark, sf_dir):
     return relations.relation_permuted(spark, 10000)
 
 
-@_query("relation_hashed")
+@_query("relation_hashed", "SELECT ((((range & 2147483647) * 2654435761) & 4294967295) >> 16) % 256 * 10000 + range AS key, range + 2 AS payload FROM range(10000)")
 def relation_hashed(spark, sf_dir):
     return relations.relation_hashed(spark, 10000)
 

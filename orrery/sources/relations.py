@@ -23,9 +23,10 @@ def relation_permuted(spark: SparkSession, n: int, step: int = 7919) -> DataFram
 
 
 def relation_hashed(spark: SparkSession, n: int, spread: int = 256) -> DataFrame:
-    """Keys hash(i) % spread * n + i: unique, scattered, the same in every run."""
+    """Keys hash(i) % spread * n + i: unique, scattered, the same in every run; a multiplicative hash of i's low 31 bits."""
     i = F.col("id")
-    return spark.range(n).select((F.pmod(F.xxhash64(i), F.lit(spread)) * n + i).alias("key"), (i + 2).alias("payload"))
+    h = F.shiftright((i.bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(2654435761)).bitwiseAND(F.lit(0xFFFFFFFF)), 16)
+    return spark.range(n).select((h % spread * n + i).alias("key"), (i + 2).alias("payload"))
 
 
 def relation_slice(relation: DataFrame, offset: int, count: int, index: str = "row_idx") -> DataFrame:
