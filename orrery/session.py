@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +19,16 @@ def session(master: str = "local[8]", partitions: int = 8, memory: str = "8g", *
         "spark.ui.enabled": "false",
     } | conf
     return SparkSession.builder.master(master).config(map=settings).getOrCreate()
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    For sessions that began elsewhere on a machine or a file system that executors share; on other clusters give
+    the package to Spark with --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
