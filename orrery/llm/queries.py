@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm import decontamination, langid, lines, mixing, quality, sharding, simhash, sql, tokens, toxicity, urls
 from orrery.plans.materialize import shared_dir
+from orrery.session import share_package
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
