@@ -343,27 +343,115 @@ WIDE_RADII = [16, 24, 32, 38, 42, 46]
 WIDE_SHARE = 0.15
 #: Documents whose texts or keys are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Shingle sets of a group of candidates that are compared in one cell; larger groups are cut into chunks of as many.
+CELL_SETS = 512
 
 
 def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The links (src, dst) whose shingle sets (id, items: sorted hashes) have a Jaccard similarity of `least` or more."""
+def matched(label: np.ndarray, side: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links between rows whose sets have a Jaccard similarity of `least` or more, enough to connect all such rows.
+
+    Rows of one label are connected already. Every other pair is compared, or with two sides every pair across
+    them, but those that links found before connect.
+    """
+    root = np.unique(label, return_inverse=True)[1]
+    size = np.array([len(x) for x in sets])
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(size) - size
+    on = np.zeros(len(values), dtype=bool)
+    two, made = side[0] != side[-1], []
+    for i in range(len(sets) - 1):
+        other = (root[i + 1 :] != root[i]) & (np.minimum(size[i + 1 :], size[i]) >= least * np.maximum(size[i + 1 :], size[i]))
+        rest = np.flatnonzero(other & (side[i + 1 :] != side[i]) if two else other) + i + 1
+        if not len(rest):
+            continue
+        own = code[start[i] : start[i] + size[i]]
+        on[own] = True
+        for part in np.split(rest, np.flatnonzero(np.diff(np.cumsum(size[rest]) >> 20)) + 1):
+            run, k = _span(size[part])
+            both = np.bincount(run, weights=on[code[start[part][run] + k]], minlength=len(part))
+            for j in part[both >= least * (size[i] + size[part] - both)]:
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    made.append((i, j))
+        on[own] = False
+    return made
+
+
+def set_links(cells: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(src, dst) of the links that `matched` finds in each cell of (cell, side, id, label); sets has id and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            side, ids, label = (t.column(c).to_numpy() for c in ("side", "id", "label"))
+            made = matched(label, side, [np.frombuffer(x, dtype="<u8") for x in t.column("items").to_pylist()], least) if len(ids) > 1 else []
+            src, dst = ([ids[x[k]] for x in made] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], ["src", "dst"])
+            cell = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            for at, end in zip(cuts, cuts[1:]):
+                if at == end:
+                    continue
+                if held and held[-1].column(0)[0].as_py() != cell[at]:
+                    yield solve(held)
+                    held = []
+                held.append(b.slice(at, end - at))
+        if held:
+            yield solve(held)
 
-    a = sets.select(F.col("id").alias("src"), F.col("items").alias("a"))
-    b = sets.select(F.col("id").alias("dst"), F.col("items").alias("b"))
-    return links.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+    count = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cells.join(sets.where("octet_length(items) > 0"), "id").select("cell", "side", "id", "label", "items")
+    return materialize(rows.repartition(count, "cell").sortWithinPartitions("cell", "side").mapInArrow(run, "src long, dst long"))
+
+
+def similar(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (src, dst) that connect all ids of a group whose shingle sets have a Jaccard similarity of `least` or more.
+
+    groups has id and component, sets has id and items (sorted hashes). Every pair of a group is compared but those
+    that verified links connect. A group over CELL_SETS is cut into chunks; one id of each set of connected
+    ones goes on as long as that connects more, and then all pairs of chunks are compared whose ids are not all
+    connected and whose sizes allow the similarity.
+    """
+    large = materialize(groups.groupBy("component").count().where(F.col("count") > CELL_SETS).select("component"))
+    small = groups.join(large, "component", "left_anti")
+    found = set_links(small.select(F.col("component").alias("cell"), F.lit(0).alias("side"), "id", F.col("id").alias("label")), sets, least)
+    if large.isEmpty():
+        return found
+    rest = materialize(groups.join(large, "component").select("id", "component"))
+    part, before = rest, rest.count()
+    links = None
+    while True:
+        chunk = ranked(part, ["id"], ["component"]).withColumn("chunk", F.floor(F.col("rank") / CELL_SETS))
+        new = set_links(chunk.select(F.xxhash64("component", "chunk").alias("cell"), F.lit(0).alias("side"), "id", F.col("id").alias("label")), sets, least)
+        links = new if links is None else materialize(links.union(new))
+        member = materialize(components(links).withColumnRenamed("component", "label"))
+        named = materialize(rest.join(member, "id", "left").select("id", "component", F.coalesce("label", "id").alias("label")))
+        part = materialize(named.where("id = label").select("id", "component"))
+        left = part.count()
+        if left > 0.9 * before:
+            break
+        before = left
+    sized = named.join(sets.select("id", (F.octet_length("items") / 8).alias("size")), "id")
+    chunk = materialize(ranked(sized, ["label", "size", "id"], ["component"]).withColumn("chunk", F.floor(F.col("rank") / CELL_SETS)))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("label", "size")]
+    node = materialize(chunk.groupBy("component", "chunk").agg(*ends))
+    a, b = (node.select("component", *[F.col(c).alias(f"{c}_{k}") for c in node.columns[1:]]) for k in "ab")
+    same = "min_label_a = max_label_a and min_label_b = max_label_b and min_label_a = min_label_b"
+    fits = (F.col("max_size_a") >= least * F.col("min_size_b")) & (F.col("max_size_b") >= least * F.col("min_size_a"))
+    pairs = a.join(b, "component").where("chunk_a <= chunk_b").where(f"not ({same})").where(fits)
+    pairs = materialize(pairs.select("component", "chunk_a", "chunk_b", F.xxhash64("component", "chunk_a", "chunk_b").alias("cell")))
+    sides = pairs.select("component", F.col("chunk_a").alias("chunk"), "cell", F.lit(0).alias("side")).union(
+        pairs.where("chunk_a < chunk_b").select("component", "chunk_b", "cell", F.lit(1))
+    )
+    across = set_links(chunk.join(sides, ["component", "chunk"]).select("cell", "side", "id", "label"), sets, least)
+    return found.union(links).union(across)
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -381,8 +469,8 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) ->
     """docs (doc_id, text, ...) without all but the first document, by doc_id, of each group of near-duplicates.
 
     Candidates come from wide fingerprints of `width`-word shingles in tables of sampled bits, through the same
-    index; the links of a group's spanning forest, the shortest first, are then verified on whole shingle
-    sets. Texts with the same fingerprint are copies of each other; so are all texts without a word. Documents
+    index. They only say which documents may belong together: inside each group of candidates all pairs are
+    then compared on whole shingle sets, and none but verified links make a pair needless. Texts with the same fingerprint are copies of each other; so are all texts without a word. Documents
     that repeat doc_id and text are one document; of several texts under one doc_id the smallest hash comes first.
     Names that begin with `_near_` are reserved.
     """
@@ -401,13 +489,13 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) ->
     nodes = materialize(fps.groupBy("id").agg(F.first("fp").alias("fp"), first))
     tables = sampled_tables(nodes.count(), WIDE_BITS, WIDE_SHARE)
     links = near_links(nodes.select("id", "fp"), tables, WIDE_RADII, WIDE_BITS)
-    ends = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
-    held = nodes.join(ends, "id").select("id", F.col("first.doc_id").alias("k_id"), F.col("first.h").alias("k_h"))
+    groups = materialize(components(links))
+    held = nodes.join(groups, "id").select("id", F.col("first.doc_id").alias("k_id"), F.col("first.h").alias("k_h"))
     held = materialize(held)
     # a text of each fingerprint that has a link
     own = texts.join(_few(held), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h"))).select("id", "text")
     sets = materialize(shingle_sets(own, width).dropDuplicates(["id"]))
-    member = materialize(components(similar(links, sets, least)))
+    member = materialize(components(similar(groups, sets, least)))
     of = nodes.select("id", "first").join(member, "id", "left").select("id", "first", F.coalesce("component", "id").alias("group"))
     of = materialize(of)
     heads = materialize(of.groupBy("group").agg(F.min("first").alias("head")))

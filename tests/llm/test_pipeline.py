@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from orrery.llm import simhash
 
@@ -56,3 +58,31 @@ def test_stages(spark):
         before = n
     out = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert out.count() == before
+
+
+def kept_by_brute_force(texts):
+    label = list(range(len(texts)))
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if label[i] != label[j] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    return sorted(set(label))
+
+
+@pytest.mark.parametrize("cell", [512, 8])
+def test_near_copies_inside_a_template(docs, monkeypatch, cell):
+    """Documents that share most of a passage (similarity 0.7 to 0.79) hide no true pair among them."""
+    monkeypatch.setattr(simhash, "CELL_SETS", cell)
+    rng = random.Random(8)
+    shared = [f"t{i}" for i in range(170)]
+    texts = []
+    for d in range(60):
+        own = [f"d{d}w{i}" for i in range(22)]
+        texts.append(" ".join(shared + own))
+        if d % 3 == 0:  # close above 0.8
+            texts.append(" ".join(shared + own[: rng.randint(6, 12)] + [f"e{d}w{i}" for i in range(16)]))
+    kept = simhash.drop_near_duplicates(docs([(i, t, "en", "s", 1) for i, t in enumerate(texts)]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == kept_by_brute_force(texts)
