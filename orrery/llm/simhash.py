@@ -454,12 +454,17 @@ def similar(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return found.union(links).union(across)
 
 
+def shingle_set(text: str | None, width: int) -> bytes:
+    """The sorted hashes of the text's distinct shingles."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(text, width)], dtype="<u8")).tobytes()
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """(id, items) of rows (id, text): the sorted hashes of the text's distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            items = [np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(t, width)], dtype="<u8")).tobytes() for t in b.column(1).to_pylist()]
+            items = [shingle_set(t, width) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.binary())], ["id", "items"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, items binary")
@@ -470,7 +475,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) ->
 
     Candidates come from wide fingerprints of `width`-word shingles in tables of sampled bits, through the same
     index. They only say which documents may belong together: inside each group of candidates all pairs are
-    then compared on whole shingle sets, and none but verified links make a pair needless. Texts with the same fingerprint are copies of each other; so are all texts without a word. Documents
+    then compared on whole shingle sets, and none but verified links make a pair needless. Texts with the same set of shingles are copies of each other; so are all texts without a word. Documents
     that repeat doc_id and text are one document; of several texts under one doc_id the smallest hash comes first.
     Names that begin with `_near_` are reserved.
     """
@@ -479,8 +484,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) ->
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(shingles(t, width), WIDE_BITS) for t in b.column(2).to_pylist()]
-            ids = np.array([xxhash.xxh64_intdigest(x) for x in fps], dtype=np.uint64).view(np.int64)
+            texts = b.column(2).to_pylist()
+            fps = [fingerprint(shingles(t, width), WIDE_BITS) for t in texts]
+            ids = np.array([xxhash.xxh3_64_intdigest(shingle_set(t, width)) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids), pa.array(fps, pa.binary())], ["doc_id", "h", "id", "fp"])
 
     texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_near_h").alias("h"), F.col("text").cast("string").alias("text"))
@@ -492,7 +498,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) ->
     groups = materialize(components(links))
     held = nodes.join(groups, "id").select("id", F.col("first.doc_id").alias("k_id"), F.col("first.h").alias("k_h"))
     held = materialize(held)
-    # a text of each fingerprint that has a link
+    # a text of each shingle set that has a link
     own = texts.join(_few(held), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h"))).select("id", "text")
     sets = materialize(shingle_sets(own, width).dropDuplicates(["id"]))
     member = materialize(components(similar(groups, sets, least)))
