@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, log2
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -101,14 +101,6 @@ def exact_tables(rows: int, radius: int = 3, bits: int = 64) -> list[list[int]]:
     return [sorted(np.concatenate(c).tolist()) for c in combinations(cut, blocks - radius)]
 
 
-def sampled_tables(rows: int, bits: int, share: float, recall: float = 0.99, seed: int = 7) -> list[list[int]]:
-    """Random bit samples: a pair that differs in `share` of its bits meets in a table with probability `recall`."""
-    take = max(16, ceil(log2(max(rows, 2))) - 4)
-    count = ceil(np.log(1 - recall) / np.log(1 - (1 - share) ** take))
-    rng = np.random.default_rng(seed)
-    return [sorted(rng.choice(bits, take, replace=False).tolist()) for _ in range(count)]
-
-
 def _words(fps: pa.Array) -> np.ndarray:
     raw = np.frombuffer(b"".join(fps.to_pylist()), dtype=np.uint8)
     return raw.reshape(len(fps), -1)
@@ -336,11 +328,12 @@ def simhash_groups(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFram
 
 # --- dropping near-duplicate documents ------------------------------------------------------------
 
-#: Fingerprints wide enough to tell a similarity of 0.8 from one well below it, and the radii tried in turn: at a
-#: Jaccard similarity of 0.8 about 0.15 of the bits differ, 45 of 256 or fewer almost surely.
-WIDE_BITS = 256
-WIDE_RADII = [16, 24, 32, 38, 42, 46]
-WIDE_SHARE = 0.15
+#: A pair of similarity J shares the least shingle under one of the BANDS * ROWS orders with probability J, all ROWS of
+#: a band with J ** ROWS, and no band with (1 - J ** ROWS) ** BANDS: 7e-5 at 0.8, for short texts as for long ones.
+BANDS, ROWS = 24, 5
+_RNG = np.random.default_rng(7)
+SALTS = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+FACTORS = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 #: Documents whose texts or keys are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Shingle sets of a group of candidates that are compared in one cell; larger groups are cut into chunks of as many.
@@ -470,11 +463,30 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, items binary")
 
 
+def band_keys(items: np.ndarray) -> list[int]:
+    """A key for each band: a hash of the least items under its orders. No items have no keys."""
+    if not len(items):
+        return []
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(items), 512):
+        mixed = (items[at : at + 512, None] ^ SALTS) * FACTORS
+        least = np.minimum(least, ((mixed ^ (mixed >> np.uint64(32))) * FACTORS).min(axis=0))
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh3_64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], dtype=np.uint64).view(np.int64).tolist()
+
+
+def band_links(nodes: DataFrame) -> DataFrame:
+    """(src, dst): each id of nodes (id, keys) and the least id that shares one of its keys, where that is another."""
+    keyed = nodes.select("id", F.explode("keys").alias("key"))
+    least = materialize(keyed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    return keyed.join(least, "key").where("id <> least").select(F.col("least").alias("src"), F.col("id").alias("dst")).distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """docs (doc_id, text, ...) without all but the first document, by doc_id, of each group of near-duplicates.
 
-    Candidates come from wide fingerprints of `width`-word shingles in tables of sampled bits, through the same
-    index. They only say which documents may belong together: inside each group of candidates all pairs are
+    Candidates share a band of least hashes of their distinct `width`-word shingles; the index of
+    fingerprints above would need hundreds of tables for the same recall. They only say which documents may belong together: inside each group of candidates all pairs are
     then compared on whole shingle sets, and none but verified links make a pair needless. Texts with the same set of shingles are copies of each other; so are all texts without a word. Documents
     that repeat doc_id and text are one document; of several texts under one doc_id the smallest hash comes first.
     Names that begin with `_near_` are reserved.
@@ -485,17 +497,16 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) ->
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).to_pylist()
-            fps = [fingerprint(shingles(t, width), WIDE_BITS) for t in texts]
-            ids = np.array([xxhash.xxh3_64_intdigest(shingle_set(t, width)) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids), pa.array(fps, pa.binary())], ["doc_id", "h", "id", "fp"])
+            sets = [shingle_set(t, width) for t in texts]
+            ids = np.array([xxhash.xxh3_64_intdigest(x) for x in sets], dtype=np.uint64).view(np.int64)
+            keys = pa.array([band_keys(np.frombuffer(x, dtype="<u8")) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids), keys], ["doc_id", "h", "id", "keys"])
 
     texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_near_h").alias("h"), F.col("text").cast("string").alias("text"))
-    fps = materialize(texts.mapInArrow(mark, "doc_id long, h long, id long, fp binary"))
+    marked = materialize(texts.mapInArrow(mark, "doc_id long, h long, id long, keys array<long>"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
-    nodes = materialize(fps.groupBy("id").agg(F.first("fp").alias("fp"), first))
-    tables = sampled_tables(nodes.count(), WIDE_BITS, WIDE_SHARE)
-    links = near_links(nodes.select("id", "fp"), tables, WIDE_RADII, WIDE_BITS)
-    groups = materialize(components(links))
+    nodes = materialize(marked.groupBy("id").agg(F.first("keys").alias("keys"), first))
+    groups = materialize(components(band_links(nodes)))
     held = nodes.join(groups, "id").select("id", F.col("first.doc_id").alias("k_id"), F.col("first.h").alias("k_h"))
     held = materialize(held)
     # a text of each shingle set that has a link
@@ -506,10 +517,10 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) ->
     of = materialize(of)
     heads = materialize(of.groupBy("group").agg(F.min("first").alias("head")))
     head = materialize(of.join(heads, "group").select("id", F.col("head.doc_id").alias("head_id"), F.col("head.h").alias("head_h")))
-    copies = fps.join(head, "id").where(~F.col("doc_id").eqNullSafe(F.col("head_id")) | (F.col("h") != F.col("head_h")))
+    copies = marked.join(head, "id").where(~F.col("doc_id").eqNullSafe(F.col("head_id")) | (F.col("h") != F.col("head_h")))
     gone = materialize(copies.select(F.col("doc_id").alias("_near_gone_id"), F.col("h").alias("_near_gone_h")).distinct())
     kept = rows.join(_few(gone), F.col("doc_id").eqNullSafe(F.col("_near_gone_id")) & (F.col("_near_h") == F.col("_near_gone_h")), "left_anti")
-    again = fps.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("_near_gone_id"), F.col("h").alias("_near_gone_h"))
+    again = marked.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("_near_gone_id"), F.col("h").alias("_near_gone_h"))
     again = materialize(again)
     if again.isEmpty():
         return kept.drop("_near_h")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -95,3 +96,23 @@ def test_equal_fingerprints_are_no_copies(docs):
     assert len({simhash.fingerprint(simhash.shingles(t, 5), 256) for t in texts}) == 1
     kept = simhash.drop_near_duplicates(docs([(i, t, "en", "s", 1) for i, t in enumerate([*texts, texts[0] + " -"])]))
     assert sorted(r["doc_id"] for r in kept.collect()) == kept_by_brute_force(texts) == list(range(6))
+
+
+@pytest.mark.parametrize("size", [9, 45, 180, 900])
+def test_pairs_close_above_the_threshold_meet(size):
+    """At a similarity of 0.80 to 0.82 nearly all pairs share a band, whatever their length."""
+    rng, met = np.random.default_rng(size), 0
+    for _ in range(500):
+        items = rng.integers(0, 1 << 64, size + size // 9, dtype=np.uint64)
+        x, y = items[:size], items[size // 9 :]  # both have 8/9 of each: 8/10 of all
+        met += bool(set(simhash.band_keys(x)) & set(simhash.band_keys(y)))
+    assert met >= 499
+
+
+def test_repeats_do_not_part_equal_sets(docs):
+    """A passage repeated more often changes no shingle set by much, and so hides no pair."""
+    own = " ".join(f"w{i}" for i in range(120))
+    song = " ".join(f"la{i}" for i in range(12))
+    texts = [own + f" {song}" * 2, own + f" {song}" * 40 + " end"]
+    kept = simhash.drop_near_duplicates(docs([(i, t, "en", "s", 1) for i, t in enumerate(texts)]))
+    assert [r["doc_id"] for r in kept.collect()] == kept_by_brute_force(texts) == [0]
