@@ -7,8 +7,8 @@ with the substrings that the shift allows. Pairs that meet must also have nearly
 character pairs (an edit changes four at most); that is tested inside the join, so that a segment shared by
 many lines makes no rows. What passes is verified by a banded bit-parallel edit distance.
 
-Equal lines (by a 128-bit hash) are one line, whatever their number. Lines shorter than LEAST characters link
-to equal ones only. Blank lines are never duplicates. Lines are those between `\\n`; a null or empty text has one
+Equal lines (by a 128-bit hash) are one line, whatever their number. Lines shorter than LEAST characters, which
+have no TAU + 1 segments, link to equal ones only. Blank lines are never duplicates. Lines are those between `\\n`; a null or empty text has one
 blank line. A null doc_id sorts first. Repeated rows are told apart by nothing, and so share a line's place.
 Other columns are ignored.
 """
@@ -27,7 +27,8 @@ from orrery.operators.components import components
 from orrery.plans import materialize
 
 TAU = 2
-LEAST = 20
+#: Fewer characters cannot be cut into TAU + 1 segments.
+LEAST = TAU + 1
 #: Ids of lines to verify that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 

@@ -149,3 +149,12 @@ def test_urls_against_sql(spark):
     assert (by[7].host, by[7].path, by[7].verdict) == ("b.com", "/fr/a/b/c/d/e", "allow")
     assert by[12].path == "" and by[12].host == "x.org"
     assert urls.url_verdicts(spark.createDataFrame([], "page_id bigint, url string")).collect() == []
+
+
+def test_short_lines_link(docs):
+    """Short lines join as long ones do, and so do lines on either side of 20 characters."""
+    texts = ["Share this page", "Share this page.", "Click to read more", "Click to read more!", "abcdefghij klmnopqr", "abcdefghij klmnopqrst", "Menu", "Menus", "xyz", "no"]
+    near = [sum(x != y and min(len(x), len(y)) >= 3 and lines._plain(x, y) <= 2 for y in texts) for x in texts]
+    got = {r["doc_id"]: (r["n_links"], r["kept"]) for r in lines.line_classes(docs([(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
+    assert [got[i][0] for i in range(len(texts))] == near == [1] * 8 + [0] * 2
+    assert [i for i in got if got[i][1]] and sorted(i for i in got if got[i][1]) == [0, 2, 4, 6, 8, 9]
