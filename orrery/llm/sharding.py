@@ -1,22 +1,29 @@
 """Shards of near-equal bytes by a k-d tree over metadata.
 
-Dimensions are source, lang and size, each as the share of bytes that come before its value (in BINS bins), so
-that widths compare. From the root on, a node is cut along its widest dimension at the weighted median, found
-from sums over bins; values in the bin that holds the median are cut by a hash, so a hot source
-is divided like any other. A node that is to hold k shards gives k // 2 shards' worth of bytes to its left side.
-
-What moves is a group of equal texts, with its smallest source and lang, so that copies stay in one shard; a
-group of more than 1 / SPLIT of a shard's bytes moves row by row, lest it spoil the balance. There are
-fewer than SPLIT times as many such groups as shards. Null text has no bytes; null source, lang and doc_id
-sort as the empty string and first. Repeated rows have slots of their own. Other columns are ignored.
+Dimensions are source, lang and size, each as the place of its value in the order of all bytes (the middle of the
+value's bytes, in BINS bins), so that widths compare. From the root on, a node is cut along its widest dimension
+at the weighted median, found from sums over bins; values in the bin that holds the median are cut by a hash, so
+a hot source is divided like any other. Nodes are cut until each holds what one shard is to hold: of `shards`, or
+of as many as `target_bytes` asks for.
+
+What moves is a group of equal texts, with its smallest source, lang and size: copies share a shard, always. Groups
+of more than 1 / SPLIT of a shard's bytes, fewer than SPLIT times as many as shards, are dealt first, largest
+first, each to the least filled shard; the tree then fills up the shards to one level. A group larger than a shard
+has one to itself, and the others share the rest evenly.
+
+Null text has no bytes; null source, lang and doc_id sort as the empty string and first. Repeated rows have slots
+of their own. A very long text weighs its bytes. An empty table gives an empty one. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from heapq import heapify, heapreplace
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.plans import materialize, ranked, running_sum
+from orrery.plans import materialize, ranked, release, running_sum
 
 SHARDS = 16
 SPLIT = 64
@@ -25,88 +32,103 @@ HASH_BITS = 12
 DIMENSIONS = ("d_source", "d_lang", "d_size")
 
 
+def dealt(large: list[int], shards: int, rest: int) -> tuple[list[int], list[float]]:
+    """The shard of each large group, and the bytes of other rows that bring every shard to one level."""
+    filled = [(0, i) for i in range(shards)]
+    heapify(filled)
+    place = [0] * len(large)
+    for g in sorted(range(len(large)), key=lambda g: -large[g]):
+        b, i = filled[0]
+        place[g] = i
+        heapreplace(filled, (b + large[g], i))
+    ascending = sorted(b for b, _ in filled)
+    level, sofar = 0.0, 0
+    for k, b in enumerate(ascending, 1):
+        sofar += b
+        level = (rest + sofar) / k
+        if k < shards and level <= ascending[k]:
+            break
+    room = [0.0] * shards
+    for b, i in filled:
+        room[i] = max(0.0, level - b)
+    return place, room
+
+
 def _binned(units: DataFrame, value: str, out: str, total: int) -> DataFrame:
-    """units with the bin of the bytes that come before `value`."""
+    """units with the bin of the middle of their value's bytes."""
     sums = materialize(units.groupBy(value).agg(F.sum("w").alias("w")))
-    before = running_sum(sums, [value], "w", "before").select(value, F.floor(F.col("before") * BINS / F.lit(max(total, 1))).cast("int").alias(out))
-    return units.join(materialize(before), value)
-
-
-def _cuts(units: DataFrame, node: Column, leaves: dict[int, int]) -> dict[int, tuple[str, int, int]]:
-    """For each node with two or more shards: dimension, bin and hash at which its right side begins."""
-    tagged = units.withColumn("node", node).where(F.col("node").isin([n for n, k in leaves.items() if k > 1]))
-    stacked = tagged.select("node", "w", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(d).alias("bin")) for d in DIMENSIONS])).alias("at"))
-    # nodes x dimensions x BINS rows at most
-    sums = stacked.groupBy("node", "at.d", "at.bin").agg(F.sum("w").alias("w")).collect()
-    chosen: dict[int, tuple[str, int, float]] = {}
-    for n in {r["node"] for r in sums}:
-        of = {d: sorted((r["bin"], r["w"]) for r in sums if r["node"] == n and r["d"] == d) for d in DIMENSIONS}
-        widest = max(DIMENSIONS, key=lambda d: of[d][-1][0] - of[d][0][0])
-        k, whole, sofar = leaves[n], sum(w for _, w in of[widest]), 0
-        left = whole * (k // 2) / k
-        for b, w in of[widest]:
-            if sofar + w >= left:
-                break
-            sofar += w
-        chosen[n] = widest, b, left - sofar
-    if not chosen:
-        return {}
-    here = F.lit(False)
-    for n, (d, b, _) in chosen.items():
-        here |= (F.col("node") == n) & (F.col(d) == b)
-    # nodes x 2^HASH_BITS rows at most
-    fine = tagged.where(here).groupBy("node", "h").agg(F.sum("w").alias("w")).collect()
-    out = {}
-    for n, (d, b, want) in chosen.items():
-        rows, at, sofar = sorted((r["h"], r["w"]) for r in fine if r["node"] == n), 0, 0
-        for h, w in rows:
-            if sofar + w / 2 > want:
-                break
-            sofar, at = sofar + w, h + 1
-        out[n] = d, b, at
-    return out
-
-
-def kd_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """rows (doc_id, size, g, source, lang) with `shard`; g tells texts apart."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    sums = rows.groupBy("g").agg(F.sum("size").alias("b")).where(F.col("b") * shards * SPLIT > F.lit(total))
-    large = materialize(sums.select("g", F.lit(True).alias("large")))  # fewer than shards x SPLIT rows
-    unit = F.when(F.col("large"), F.xxhash64("g", "doc_id")).otherwise(F.col("g"))
-    placed = materialize(rows.join(F.broadcast(large), "g", "left").withColumn("unit", unit).drop("large"))
-    units = placed.groupBy("unit").agg(
-        F.sum("size").alias("w"), F.min("source").alias("source"), F.min("lang").alias("lang"), F.min("size").alias("size")
+    place = F.floor((F.col("before") + F.col("w") / 2) * BINS / F.lit(max(total, 1))).cast("int")
+    return units.join(materialize(running_sum(sums, [value], "w", "before").select(value, place.alias(out))), value)
+
+
+def _cuts(units: DataFrame, nodes: DataFrame) -> DataFrame:
+    """shard, mid, d, bin and h of nodes (shard, mid, share): where along which dimension the right side begins.
+
+    `share` of a node's bytes goes to its left side. At most nodes x dimensions x BINS sums are ordered, and
+    nodes x 2^HASH_BITS.
+    """
+    bins = F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.col(c).alias("bin")) for i, c in enumerate(DIMENSIONS)]))
+    stacked = units.join(F.broadcast(nodes), "shard").select("shard", "mid", "share", "w", bins.alias("at"))
+    sums = materialize(stacked.groupBy("shard", "mid", "share", "at.d", "at.bin").agg(F.sum("w").alias("w")))
+    width = sums.groupBy("shard", "d").agg((F.max("bin") - F.min("bin")).alias("width"))
+    widest = width.groupBy("shard").agg(F.min(F.struct(-F.col("width"), "d")).getField("d").alias("d"))
+    node = W.partitionBy("shard")
+    along = sums.join(widest, ["shard", "d"]).select(
+        "shard", "mid", "d", "bin", (F.sum("w").over(node.orderBy("bin")) - F.col("w")).alias("before"), "w", (F.sum("w").over(node) * F.col("share")).alias("left")
     )
-    units = materialize(units.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(5), "unit"), 64 - HASH_BITS).cast("int")))
+    reached = along.where(F.col("before") + F.col("w") >= F.col("left")).groupBy("shard", "mid", "d").agg(F.min(F.struct("bin", F.col("left") - F.col("before"))).alias("x"))
+    at = materialize(reached.select("shard", "mid", "d", F.col("x.bin").alias("bin"), F.col("x.col2").alias("want")))
+    here = units.join(F.broadcast(at), "shard").where(F.array(*DIMENSIONS)[F.col("d")] == F.col("bin"))
+    fine = here.groupBy("shard", "mid", "d", "bin", "want", "h").agg(F.sum("w").alias("w"))
+    over = fine.withColumn("before", F.sum("w").over(node.orderBy("h")) - F.col("w"))
+    first = F.min(F.when(F.col("before") + F.col("w") / 2 > F.col("want"), F.col("h")))
+    return materialize(over.groupBy("shard", "mid", "d", "bin").agg(F.coalesce(first, F.lit(1 << HASH_BITS)).alias("h_cut")))
+
+
+def tree(units: DataFrame, room: list[float]) -> DataFrame:
+    """g and shard of units (g, w, h and DIMENSIONS): nodes are runs of shards, named by their first."""
+    spark, nodes = units.sparkSession, [(0, len(room))]
+    units = materialize(units.withColumn("shard", F.lit(0)))
+    while any(hi - lo > 1 for lo, hi in nodes):
+        halves = [(lo, (lo + hi) // 2, hi) for lo, hi in nodes if hi - lo > 1]
+        shares = [(lo, mid, (sum(room[lo:mid]) / whole) if (whole := sum(room[lo:hi])) else 1.0) for lo, mid, hi in halves]
+        # a row a node, no more than shards
+        cuts = _cuts(units, spark.createDataFrame(shares, "shard int, mid int, share double"))
+        value = F.array(*DIMENSIONS)[F.col("d")]
+        right = (value > F.col("bin")) | ((value == F.col("bin")) & (F.col("h") >= F.col("h_cut")))
+        moved = units.join(F.broadcast(cuts), "shard", "left").select("g", "w", "h", *DIMENSIONS, F.when(right, F.col("mid")).otherwise(F.col("shard")).alias("shard"))
+        after = materialize(moved)
+        release(units)
+        units, nodes = after, [x for lo, hi in nodes for x in ([(lo, (lo + hi) // 2), ((lo + hi) // 2, hi)] if hi - lo > 1 else [(lo, hi)])]
+    return units.select("g", "shard")
+
+
+def placed_units(groups: DataFrame) -> DataFrame:
+    """groups (g, w, source, lang, size) with h and the bins of DIMENSIONS."""
+    units = materialize(groups.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(5), "g"), 64 - HASH_BITS).cast("int")))
+    total = units.agg(F.sum("w")).first()[0] or 0
     for value, d in zip(("source", "lang", "size"), DIMENSIONS, strict=True):
         units = _binned(units, value, d, total)
-    units = materialize(units.select("unit", "w", "h", *DIMENSIONS))
-    node, leaves = F.lit(1), {1: shards}
-    while any(k > 1 for k in leaves.values()):
-        cuts = _cuts(units, node, leaves)
-        after, side = {}, F.lit(0)
-        for n, k in leaves.items():
-            if k == 1:
-                after[n] = 1
-                continue
-            after |= {2 * n: k // 2, 2 * n + 1: k - k // 2}
-            if n in cuts:
-                d, b, h = cuts[n]
-                side = F.when(node == n, ((F.col(d) > b) | ((F.col(d) == b) & (F.col("h") >= h))).cast("int")).otherwise(side)
-        split = node.isin([n for n, k in leaves.items() if k > 1])
-        deeper = F.when(split, 2 * node + side).otherwise(node)
-        units = materialize(units.withColumn("node", deeper))
-        node, leaves = F.col("node"), after
-    number = {n: i for i, n in enumerate(sorted(leaves, key=lambda n: bin(n)[2:]))}
-    shard = F.lit(0)
-    for n, i in number.items():
-        shard = F.when(F.col("node") == n, i).otherwise(shard)
-    return placed.join(units.select("unit", shard.cast("int").alias("shard")), "unit")
+    return materialize(units.select("g", "w", "h", *DIMENSIONS))
+
+
+def kd_shards(rows: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
+    """rows (doc_id, size, g, source, lang) with `shard`; g tells texts apart."""
+    groups = rows.groupBy("g").agg(F.sum("size").alias("w"), F.min("source").alias("source"), F.min("lang").alias("lang"), F.min("size").alias("size"))
+    groups = materialize(groups)
+    total = groups.agg(F.sum("w")).first()[0] or 0
+    shards = shards or max(1, -(-total // (target_bytes or total or 1)))
+    is_large = F.col("w") * shards * SPLIT > F.lit(total)
+    large = [(r["g"], r["w"]) for r in groups.where(is_large).select("g", "w").orderBy(F.desc("w"), "g").collect()]  # fewer than shards x SPLIT rows
+    place, room = dealt([w for _, w in large], shards, total - sum(w for _, w in large))
+    first = rows.sparkSession.createDataFrame([(g, i) for (g, _), i in zip(large, place, strict=True)], "g long, shard int")
+    of = first.union(tree(placed_units(groups.where(~is_large)), room))
+    return rows.join(materialize(of), "g")
 
 
 def shard_table(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law (bytes), shard, slot and grown_shard (null) of every document."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text: Column = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
