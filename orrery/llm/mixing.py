@@ -1,25 +1,29 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
-Every document of a source is to be taken target / source_size times. The whole part is taken; the
-fractions are rounded by the pivotal method. Documents meet, and words move from one to the other until
-one fraction is 0 or 1; the direction is drawn so that each fraction keeps its expectation, and the
-words taken from those that meet stay the same. A long document meets as many short ones as make up
-for it, and long ones go first, so that what is left over is short. What is left over, one document
-at most for each node, meets the other leftovers further up a tree of fan-in 64. A source's words
-therefore miss its target by no more than one document's words.
-
-Leaves are fixed by hashes of the rows, so a rerun over other partitions takes the same copies, and a
-hot source spreads over all leaves. Null text has size 0, null source is a source of its own, in the last
-place; a document of no words is taken by a draw of its own, as no words depend on it. Repeated
-rows are rounded each for itself. Other columns are carried along; names starting with `_mix_` are
-reserved.
+Every document of a source is to be taken target / source_size times. The whole part is taken; the fractions are
+rounded by the pivotal method: two documents meet, and words move from one to the other until one fraction is 0
+or 1. Which way is drawn anew for every meeting, with chances that keep both fractions' expectations, whatever
+happened before; the words taken from the two stay the same. Longer documents meet first, so that what is left
+over is short. What is left over, one document at most for each node, meets the other leftovers further up a tree
+of fan-in 64, and the last one at the root is drawn by its fraction. A source's words therefore miss its target by
+no more than one document's words, and every document keeps its expectation.
+
+Rounding works on keys (doc_id, hash of the text, source, size); texts join the outcome afterwards. Leaves are fixed by
+hashes of the keys, and a node's draws by its name, so a rerun over other partitions takes the same copies, and
+a hot source spreads over all leaves. Rows that repeat doc_id, text and source are one key of n times the
+fraction, whose copies they share evenly. Null text has size 0, null source is a source of its own, in the last
+place; a document of no words is taken by a draw of its own, as no words depend on it. Very long texts are one
+document of many words; an empty table gives an empty one. Other columns are carried along by mixed_documents
+(of repeated rows one row's); names starting with `_mix_` are reserved.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from random import Random
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +33,8 @@ MOST = 3
 LEAF_ROWS = 4_000
 FAN_BITS = 6
 EPS = 1e-9
+#: Keys of documents that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def n_words(text: Column) -> Column:
@@ -60,54 +66,53 @@ def source_targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     return weighed.select("source", "source_size", target.alias("target"))
 
 
-def pivot(size: list[int], p: list[float], u: list[float]) -> int | None:
-    """Round the fractions p in place, keeping sum(size * p) and each expectation; the place left over, if any.
+def pivot(size: list[int], p: list[float], draw: Callable[[], float]) -> int | None:
+    """Round the fractions p in place by pairs, keeping sum(size * p); the place left over, if any.
 
-    From the first row on, a row of fraction f takes a_j words from each of as many later rows as it needs
-    to become 1, with probability f, or gives them f / (1 - f) * a_j to become 0. Where the rest is too
-    short for that, two rows meet at a time.
+    `draw` gives a new number in [0, 1) at every meeting. A meeting moves `up` words to the first with probability
+    down / (up + down), or `down` words from it, so that neither fraction's expectation changes.
     """
-    live = [i for i in range(len(p)) if EPS < p[i] < 1 - EPS]
-    for i in set(range(len(p))).difference(live):
-        p[i] = float(round(p[i]))
-    while len(live) > 1:
-        i, f = live[0], p[live[0]]
-        need, gifts = size[i] * (1 - f), []
-        for j in live[1:]:
-            a = min(size[j] * p[j], size[j] * (1 - p[j]) * (1 - f) / f, need)
-            gifts.append(a)
-            need -= a
-            if need <= 0:
-                break
-        if need <= 0:
-            up = u[i] < f
-            p[i] = float(up)
-            for j, a in zip(live[1:], gifts, strict=False):
-                p[j] += (-a if up else a * f / (1 - f)) / size[j]
+    held: int | None = None
+    for j in range(len(p)):
+        if not EPS < p[j] < 1 - EPS:
+            p[j] = float(round(p[j]))
+            continue
+        if held is None:
+            held = j
+            continue
+        i = held
+        fill, drain = size[i] * (1 - p[i]), size[j] * p[j]
+        give, room = size[i] * p[i], size[j] * (1 - p[j])
+        up, down = min(fill, drain), min(give, room)
+        if draw() * (up + down) < down:
+            p[i], p[j] = (1.0 if fill <= drain else p[i] + up / size[i]), (0.0 if drain <= fill else p[j] - up / size[j])
         else:
-            j = live[1]
-            up, down = min(size[i] * (1 - f), size[j] * p[j]), min(size[j] * (1 - p[j]), size[i] * f)
-            move = up if u[j] * (up + down) < down else -down
-            p[i], p[j] = f + move / size[i], p[j] - move / size[j]
-        met = live[: len(gifts) + 1]
-        for k in met:
+            p[i], p[j] = (0.0 if give <= room else p[i] - down / size[i]), (1.0 if room <= give else p[j] + down / size[j])
+        for k in (i, j):
             if not EPS < p[k] < 1 - EPS:
                 p[k] = float(round(p[k]))
-        live[: len(met)] = [k for k in met if 0 < p[k] < 1]
-    return live[0] if live else None
+        held = i if 0 < p[i] < 1 else j if 0 < p[j] < 1 else None
+    return held
 
 
-def _rounded(keys: list[str], last: bool):
-    """Rounds each node's rows; the row left over keeps its fraction unless `last`."""
+def rounded(size: list[int], p: list[float], name: str, last: bool) -> int | None:
+    """Round a node's fractions in place, by draws that its name fixes; the place left over unless it is the `last` node."""
+    draw = Random(xxhash.xxh3_64_intdigest(name)).random
+    for i in range(len(p)):
+        if not size[i]:
+            p[i] = float(draw() < p[i])
+    left = pivot(size, p, draw)
+    if left is not None and last:
+        p[left], left = float(draw() < p[left]), None
+    return left
 
-    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        size, p, u, whole = (t.column(c).to_pylist() for c in ("_mix_size", "_mix_p", "_mix_u", "_mix_whole"))
-        for i in range(len(p)):
-            if not size[i]:
-                p[i] = float(u[i] < p[i])
-        left = pivot(size, p, u)
-        if left is not None and last:
-            p[left], left = float(u[left] < p[left]), None
+
+def _rounded(keys: list[str], seed: int, level: int):
+    """Rounds each node's rows; the row left over keeps its fraction unless the level is 0."""
+
+    def solve(t: pa.Table, node: tuple) -> Iterator[pa.RecordBatch]:
+        size, p, whole = (t.column(c).to_pylist() for c in ("_mix_size", "_mix_p", "_mix_whole"))
+        left = rounded(size, p, repr((seed, level, *node)), level == 0)
         copies = [None if i == left else w + int(x) for i, (w, x) in enumerate(zip(whole, p, strict=True))]
         done = {"_mix_p": pa.array(p, pa.float64()), "_mix_copies": pa.array(copies, pa.int64())}
         yield from pa.table({c: done.get(c, t.column(c)) for c in t.column_names}).to_batches(max_chunksize=5000)
@@ -122,63 +127,80 @@ def _rounded(keys: list[str], last: bool):
                     if i > start:
                         held.append(b.slice(start, i - start))
                     if held:
-                        yield from solve(pa.Table.from_batches(held))
+                        yield from solve(pa.Table.from_batches(held), node)
                     node, held, start = k, [], i
             if start < len(names):
                 held.append(b.slice(start))
         if held:
-            yield from solve(pa.Table.from_batches(held))
+            yield from solve(pa.Table.from_batches(held), node)
 
     return run
 
 
-def mix(docs: DataFrame, size: Column, seed: int = 11, most: int = MOST) -> DataFrame:
-    """docs (doc_id, source, ...) with _mix_size, _mix_total (its source's), _mix_target and _mix_copies."""
-    docs = docs.withColumn("_mix_size", size.cast("long"))
-    sizes = materialize(docs.groupBy("source").agg(F.sum("_mix_size").alias("size"), F.count(F.lit(1)).alias("rows")))
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, source, _mix_h (a hash of the text) and _mix_size of every row."""
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", "source", F.xxhash64(text).alias("_mix_h"), n_words(text).alias("_mix_size"))
+
+
+def mix(keys: DataFrame, seed: int = 11, most: int = MOST) -> DataFrame:
+    """Each distinct row of keys with _mix_rows, _mix_total (its source's words), _mix_target and _mix_copies of all its rows."""
+    held = materialize(keys.groupBy("doc_id", "source", "_mix_h", "_mix_size").agg(F.count(F.lit(1)).alias("_mix_rows")))
+    sizes = materialize(held.groupBy("source").agg(F.sum(F.col("_mix_size") * F.col("_mix_rows")).alias("size"), F.count(F.lit(1)).alias("rows")))
     # leaves of LEAF_ROWS rows or fewer, 2^bits for a source
     bits = F.greatest(F.ceil(F.log2(F.col("rows") / LEAF_ROWS) / FAN_BITS), F.lit(0)) * FAN_BITS
     rows = sizes.select(F.col("source").alias("_mix_source"), bits.cast("int").alias("_mix_bits"))
     of = source_targets(sizes, most).join(rows, F.col("source").eqNullSafe(F.col("_mix_source")))
     of = materialize(of.select("_mix_source", "_mix_bits", F.col("source_size").alias("_mix_total"), F.col("target").alias("_mix_target")))
     level = of.agg(F.max("_mix_bits")).first()[0] or 0
-    share = F.when(F.col("_mix_total") > 0, F.col("_mix_target") / F.col("_mix_total")).otherwise(F.lit(0.0))
-    draw = F.xxhash64(F.lit(seed), "doc_id", "_mix_size", "source")
-    hashed = F.xxhash64(F.lit(seed + 1), "doc_id", "_mix_size", "source")
+    share = F.when(F.col("_mix_total") > 0, F.col("_mix_target") / F.col("_mix_total")).otherwise(F.lit(0.0)) * F.col("_mix_rows")
+    hashed = F.xxhash64(F.lit(seed + 1), "doc_id", "_mix_h", "_mix_size", "source")
     # of has a row for each source: it is broadcast if it is small, else a hot source's rows are split
     leaf = (
-        docs.join(of, F.col("source").eqNullSafe(F.col("_mix_source")))
+        held.join(of, F.col("source").eqNullSafe(F.col("_mix_source")))
         .withColumn("_mix_whole", F.floor(share).cast("long"))
         .withColumn("_mix_p", share - F.floor(share))
-        .withColumn("_mix_u", F.shiftrightunsigned(draw, 11) * F.lit(2.0**-53))
         .withColumn("_mix_node", F.pmod(hashed, F.expr("shiftleft(1L, _mix_bits)")))
         .withColumn("_mix_copies", F.lit(None).cast("long"))
         .drop("_mix_source", "_mix_bits")
     )
-    parts, keys = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["_mix_node", "source"]
+    parts, names = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["_mix_node", "source"]
     done: DataFrame | None = None
     while True:
         last = level == 0
-        ordered = leaf.repartition(parts, *keys).sortWithinPartitions(*keys, F.col("_mix_size").desc(), "doc_id", "_mix_u")
-        stage = materialize(ordered.mapInArrow(_rounded(keys, last), leaf.schema))
+        # no two rows tie, so that a node's meetings are the same in every run; a node has few rows, or 64 leftovers
+        ordered = leaf.repartition(parts, *names).sortWithinPartitions(*names, F.col("_mix_size").desc(), "doc_id", "_mix_h")
+        stage = materialize(ordered.mapInArrow(_rounded(names, seed, level), leaf.schema))
         settled = stage.where(F.col("_mix_copies").isNotNull())
         done = settled if done is None else done.union(settled)
         if last:
             break
         level -= FAN_BITS
         leaf = stage.where(F.col("_mix_copies").isNull()).withColumn("_mix_node", F.shiftright("_mix_node", FAN_BITS))
-    return done.drop("_mix_whole", "_mix_p", "_mix_u", "_mix_node")
+    return done.drop("_mix_whole", "_mix_p", "_mix_node")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of docs."""
-    taken = mix(docs, n_words(F.col("text")), seed).where("_mix_copies > 0")
+    """The documents of the mix, each as often as it is taken, with the columns of docs.
+
+    Repeated rows are one row, taken as often as all of them.
+    """
+    same = ["doc_id", "source", "_mix_h", "_mix_size"]
+    marked = docs.withColumns({"_mix_h": F.xxhash64(F.col("text").cast("string")), "_mix_size": n_words(F.col("text").cast("string"))})
+    taken = materialize(mix(keyed(docs), seed).where("_mix_copies > 0").select(*[F.col(c).alias(f"_mix_of_{i}") for i, c in enumerate(same)], "_mix_rows", "_mix_copies"))
+    on = F.lit(True)
+    for i, c in enumerate(same):
+        on &= F.col(c).eqNullSafe(F.col(f"_mix_of_{i}"))
+    both = marked.join(F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken, on)
+    if not taken.where("_mix_rows > 1").isEmpty():
+        both = both.where("_mix_rows = 1").union(both.where("_mix_rows > 1").dropDuplicates(same))
     repeats = F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))).alias("_mix_copy")
-    return taken.select(*[F.col(c) for c in docs.columns], repeats).drop("_mix_copy")
+    return both.select(*[F.col(c) for c in docs.columns], repeats).drop("_mix_copy")
 
 
 def mix_report(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes, repeats counted)."""
-    taken = mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("words")), F.col("words"), seed)
-    words = F.col("_mix_size") * F.col("_mix_copies")
-    return taken.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_total").alias("source_size"), F.col("_mix_target").alias("target"), words.alias("taken"))
+    """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of every row."""
+    row = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_rows"))).alias("_mix_row")
+    each = mix(keyed(docs), seed).select("*", row)
+    own = F.floor(F.col("_mix_copies") / F.col("_mix_rows")) + (F.col("_mix_row") <= F.col("_mix_copies") % F.col("_mix_rows")).cast("long")
+    return each.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_total").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_size") * own).alias("taken"))

@@ -60,17 +60,48 @@ def test_reruns_agree_over_other_partitions(spark):
     assert sorted(map(str, a)) == sorted(map(str, b))
 
 
-def test_expectations_are_kept():
-    total = [0.0] * 6
-    for seed in range(4000):
-        rng = random.Random(seed)
-        p = [0.2, 0.5, 0.7, 0.35, 0.9, 0.1]
-        left = mixing.pivot([900, 100, 80, 50, 10, 3], p, [rng.random() for _ in p])
-        for i, x in enumerate(p):
-            total[i] += x
-            assert i == left or x in (0.0, 1.0)
-    for got, want in zip(total, [0.2, 0.5, 0.7, 0.35, 0.9, 0.1], strict=True):
-        assert abs(got / 4000 - want) < 0.03
+@pytest.mark.parametrize(
+    "size, p",
+    [([5, 5], [0.5, 0.3]), ([1, 1, 1], [0.3, 0.3, 0.3]), ([900, 100, 80, 50, 10, 3], [0.2, 0.5, 0.7, 0.35, 0.9, 0.1]), ([7, 0, 2, 0], [0.6, 0.25, 0.4, 0.5])],
+)
+def test_expectations_are_kept(size, p):
+    """After the last draw too, every document is taken with its fraction's probability."""
+    total, runs = [0] * len(p), 40_000
+    for seed in range(runs):
+        got = list(p)
+        assert mixing.rounded(size, got, str(seed), True) is None
+        for i, x in enumerate(got):
+            assert x in (0.0, 1.0)
+            total[i] += int(x)
+    assert [n / runs for n in total] == pytest.approx(p, abs=0.01)
+
+
+def test_words_are_kept_but_for_the_last_document():
+    rng = random.Random(1)
+    for _ in range(300):
+        size = sorted((rng.randint(1, 500) for _ in range(rng.randint(1, 40))), reverse=True)
+        p = [rng.random() for _ in size]
+        want, left = sum(s * x for s, x in zip(size, p, strict=True)), mixing.pivot(size, p, rng.random)
+        assert all(x in (0.0, 1.0) for i, x in enumerate(p) if i != left)
+        assert sum(s * x for s, x in zip(size, p, strict=True)) == pytest.approx(want)
+
+
+def test_repeated_rows_share_their_copies(spark, monkeypatch):
+    """Equal rows, with and without an id, are rounded together, in a mix that no order of rows changes."""
+    monkeypatch.setattr(mixing, "LEAF_ROWS", 20)
+    rows = [(None, "w " * 4, "a")] * 500 + [(7, "w " * 3, "a")] * 101 + [(i, "w " * 5, "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    a, b = (sorted(map(str, mixing.mix_report(d).collect())) for d in (docs, docs.repartition(5, F.rand(2))))
+    assert a == b and len(a) == len(rows)
+    got = mixing.mix_report(docs).collect()
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    by = defaultdict(int)
+    for r in mixing.mixed_documents(docs).collect():
+        by[r["doc_id"], r["source"]] += len(r["text"].split())
+    want = defaultdict(int)
+    for r in got:
+        want[r["doc_id"], "b" if r["size"] == 5 else "a"] += r["taken"]
+    assert {k: v for k, v in want.items() if v} == by
 
 
 def test_odd_rows(docs):
