@@ -7,9 +7,15 @@ with the substrings that the shift allows. Pairs that meet must also have nearly
 character pairs (an edit changes four at most); that is tested inside the join, so that a segment shared by
 many lines makes no rows. What passes is verified by a banded bit-parallel edit distance.
 
-Equal lines (by a 128-bit hash) are one line, whatever their number. Lines shorter than LEAST characters, which
-have no TAU + 1 segments, link to equal ones only. Blank lines are never duplicates. Lines are those between `\\n`; a null or empty text has one
-blank line. A null doc_id sorts first. Repeated rows are told apart by nothing, and so share a line's place.
+Segments of a line of SHORT characters or fewer would say little. Where the shorter line of a pair is so short, both
+are probed whole instead, under all that is left of them without up to TAU of their characters: lines within TAU edits
+have such a rest in common. Lines of TAU characters or fewer are all within TAU edits of each other; they are
+linked and counted without pairing them. So every line that is not blank is joined with every other, at any length.
+
+Equal lines (by a 128-bit hash) are one line, whatever their number. Blank lines are never duplicates. Lines are those
+between `\\n`; a null or empty text has one blank line, a very long text has its lines like others, and an empty table
+gives an empty one. A null doc_id sorts first. Of several texts under one doc_id that of the smallest hash comes
+first; of rows that repeat doc_id and text one comes first, and the lines of the others are duplicates of its lines.
 Other columns are ignored.
 """
 
@@ -27,8 +33,8 @@ from orrery.operators.components import components
 from orrery.plans import materialize
 
 TAU = 2
-#: Fewer characters cannot be cut into TAU + 1 segments.
-LEAST = TAU + 1
+#: Lines of so many characters are joined by what is left of them, not by segments.
+SHORT = 8
 #: Ids of lines to verify that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -43,29 +49,45 @@ def parity(line: str) -> int:
     return int(np.bitwise_or.reduce(np.uint64(1) << odd.astype(np.uint64), initial=np.uint64(0)))
 
 
-def split_lines(docs: DataFrame, whole: bool = True) -> DataFrame:
-    """doc_id, line_no, h1, h2 (hash) and blank of every line; with `whole` also line, len and sig."""
+def told_apart(docs: DataFrame) -> DataFrame:
+    """doc_id, text, t and copies: a row for each (doc_id, text); t tells texts of one doc_id apart and is 0 where there is one."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    again = materialize(rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")))
+    once = rows.select("*", F.lit(0).cast("long").alias("t"), F.lit(1).cast("long").alias("copies"))
+    n = again.count()
+    if not n:
+        return once
+    on, few = F.col("doc_id").eqNullSafe(F.col("again")), F.broadcast(again) if n <= BROADCAST_ROWS else again
+    each = rows.join(few, on, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("t")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    return once.join(few, on, "left_anti").union(materialize(each.select("doc_id", "text", "t", "copies")))
+
+
+def split_lines(rows: DataFrame, whole: bool = True) -> DataFrame:
+    """doc_id, t, line_no, h1, h2 (hash) and blank of every line of told_apart's rows; with `whole` also line, len and sig, else copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for every in batches:
             for start in range(0, every.num_rows, 512):
                 b = every.slice(start, 512)
-                ids, place, lines = [], [], []
-                for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                place, lines, times = [], [], []
+                for text in b.column(1).to_pylist():
                     parts = (text or "").split("\n")
-                    ids += [i] * len(parts)
+                    times.append(len(parts))
                     place += range(len(parts))
                     lines += [p if p.strip(" \t\x0b\x0c\r") else "" for p in parts]
+                again = pa.array(np.repeat(np.arange(len(times)), times))
                 hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), dtype="<i8").reshape(-1, 2)
-                columns = {"doc_id": pa.array(ids, pa.int64()), "line_no": pa.array(place, pa.int32()), "h1": pa.array(hashes[:, 0]), "h2": pa.array(hashes[:, 1])}
+                columns = {"doc_id": b.column(0).take(again), "t": b.column(2).take(again), "line_no": pa.array(place, pa.int32()), "h1": pa.array(hashes[:, 0]), "h2": pa.array(hashes[:, 1])}
                 columns["blank"] = pa.array([not x for x in lines], pa.bool_())
                 if whole:
-                    sig = np.array([parity(x) if len(x) >= LEAST else 0 for x in lines], dtype=np.uint64).view(np.int64)
+                    sig = np.array([parity(x) for x in lines], dtype=np.uint64).view(np.int64)
                     columns |= {"line": pa.array(lines, pa.string()), "len": pa.array([len(x) for x in lines], pa.int32()), "sig": pa.array(sig)}
+                else:
+                    columns["copies"] = b.column(3).take(again)
                 yield pa.RecordBatch.from_pydict(columns)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, line_no int, h1 long, h2 long, blank boolean" + (", line string, len int, sig long" if whole else ""))
+    more = "line string, len int, sig long" if whole else "copies long"
+    return rows.select("doc_id", "text", "t", "copies").mapInArrow(run, f"doc_id long, t long, line_no int, h1 long, h2 long, blank boolean, {more}")
 
 
 def segment(n: int, i: int, tau: int) -> tuple[int, int]:
@@ -126,6 +148,30 @@ def segment_keys(lines: DataFrame, tau: int, probe: bool) -> DataFrame:
     return lines.select("id", "line", "len", "sig").mapInArrow(run, "key long, id long, len int, sig long")
 
 
+def rests(line: str, tau: int) -> set[str]:
+    """The line, and what is left of it without up to tau characters, but for nothing."""
+    out = last = {line}
+    for _ in range(tau):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        out = out | last
+    return out - {""}
+
+
+def rest_keys(lines: DataFrame, tau: int) -> DataFrame:
+    """key, id, len, sig: a row for each of a line's rests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for every in batches:
+            for start in range(0, every.num_rows, 4096):
+                b = every.slice(start, 4096)
+                found = [[xxhash.xxh3_64_intdigest(x) for x in rests(line, tau)] for line in b.column(1).to_pylist()]
+                key = np.array([h for x in found for h in x], dtype=np.uint64).view(np.int64)
+                again = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(c).take(again) for c in ("id", "len", "sig"))], ["key", "id", "len", "sig"])
+
+    return lines.select("id", "line", "len", "sig").mapInArrow(run, "key long, id long, len int, sig long")
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """The edit distance of a and b, or most + 1 if it is larger."""
     if abs(len(a) - len(b)) > most:
@@ -194,21 +240,29 @@ def verified(pairs: DataFrame, most: int = TAU) -> DataFrame:
     return pairs.select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
 
 
-def near_lines(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """(a, b) of all lines within tau edits, a < b; lines has id, line, len and sig, with distinct texts."""
-    long = lines.where(F.col("len") >= max(LEAST, tau + 1))
-    index = segment_keys(long, tau, False).toDF("i_key", "i", "i_len", "i_sig")
-    probe = segment_keys(long, tau, True).toDF("p_key", "p", "p_len", "p_sig")
-    shorter = (F.col("i_len") < F.col("p_len")) | ((F.col("i_len") == F.col("p_len")) & (F.col("i") < F.col("p")))
+def met(index: DataFrame, probe: DataFrame, tau: int) -> DataFrame:
+    """(a, b), a < b, of lines that meet under a key and have lengths and parities that tau edits allow.
+
+    Both sides are plain shuffles, sorted and spilled where they must be, so that a key of many lines can be split.
+    """
+    index, probe = (x.select(*[F.col(c).alias(f"{s}_{c}") for c in ("key", "id", "len", "sig")]) for s, x in (("i", index), ("p", probe)))
+    shorter = (F.col("i_len") < F.col("p_len")) | ((F.col("i_len") == F.col("p_len")) & (F.col("i_id") < F.col("p_id")))
     close = (F.col("p_len") - F.col("i_len") <= tau) & (F.bit_count(F.col("i_sig").bitwiseXOR(F.col("p_sig"))) <= 4 * tau)
-    # both sides are plain shuffles, so that a segment of many lines can be split
-    met = probe.join(index.hint("shuffle_hash"), (F.col("p_key") == F.col("i_key")) & shorter & close)
-    met = materialize(met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct())
-    ids = materialize(met.select(F.col("a").alias("id")).union(met.select("b")).distinct())
+    both = probe.join(index, (F.col("p_key") == F.col("i_key")) & shorter & close & (F.col("p_len") > tau))
+    return both.select(F.least("i_id", "p_id").alias("a"), F.greatest("i_id", "p_id").alias("b")).distinct()
+
+
+def near_lines(lines: DataFrame, tau: int = TAU) -> DataFrame:
+    """(a, b) of all lines within tau edits, a < b, but for pairs of lines of tau characters or fewer; lines has id, line, len and sig, with distinct texts."""
+    long = lines.where(F.col("len") > SHORT)
+    pairs = met(segment_keys(long, tau, False), segment_keys(long, tau, True), tau)
+    short = materialize(rest_keys(lines.where(F.col("len") <= SHORT + tau), tau))
+    pairs = materialize(pairs.union(met(short.where(F.col("len") <= SHORT), short, tau)))
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     few = ids.count() <= BROADCAST_ROWS
     texts = materialize(lines.select("id", "line").join(F.broadcast(ids) if few else ids, "id"))
     a, b = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
-    return verified(met.join(a, "a").join(b, "b"), tau)
+    return verified(pairs.join(a, "a").join(b, "b"), tau)
 
 
 def line_classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
@@ -217,21 +271,29 @@ def line_classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
     A class's name is its first line in order of doc_id and line_no, and only that is kept. n_links counts the
     other texts within tau edits. Blank lines are kept and are classes of their own.
     """
-    full = split_lines(docs).where("not blank")
-    first = F.min(F.struct("doc_id", "line_no")).alias("first")
-    grouped = full.groupBy("h1", "h2").agg(first, F.first("line").alias("line"), F.first("len").alias("len"), F.first("sig").alias("sig"))
+    rows = told_apart(docs)
+    full = split_lines(rows).where("not blank")
+    place = F.struct("doc_id", "t", "line_no")
+    grouped = full.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("line").alias("line"), F.first("len").alias("len"), F.first("sig").alias("sig"))
     lines = materialize(grouped.withColumn("id", F.monotonically_increasing_id()), codec="zstd")
     links = materialize(near_lines(lines, tau))
+    # the shortest lines are all linked: each to one of them, and each counted with all of them
+    tiny = F.col("len") <= tau
+    n_tiny, one = lines.where(tiny).agg(F.count(F.lit(1)), F.min("id")).first()
+    star = lines.where(tiny & (F.col("id") > F.lit(one))).select(F.lit(one).alias("a"), F.col("id").alias("b"))
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    member = materialize(components(links, "a", "b"))
-    named = lines.select("h1", "h2", "id", "first").join(materialize(degree), "id", "left").join(member, "id", "left")
-    named = materialize(named.select("h1", "h2", F.coalesce("component", "id").alias("class"), "first", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    member = materialize(components(links.union(star) if n_tiny > 1 else links, "a", "b"))
+    named = lines.select("h1", "h2", "id", "first", tiny.alias("tiny")).join(materialize(degree), "id", "left").join(member, "id", "left")
+    n_links = F.coalesce("n_links", F.lit(0)) + F.when(F.col("tiny"), F.lit(max(n_tiny - 1, 0))).otherwise(F.lit(0))
+    named = materialize(named.select("h1", "h2", F.coalesce("component", "id").alias("class"), "first", n_links.alias("n_links")))
     heads = materialize(named.groupBy("class").agg(F.min("first").alias("head")))
     of_text = materialize(named.join(heads, "class").select("h1", "h2", "head", "n_links"))
-    places = materialize(split_lines(docs, whole=False))
-    own = F.struct("doc_id", "line_no")
-    known = places.where("not blank").join(of_text, ["h1", "h2"]).select("doc_id", "line_no", "head", "n_links")
-    blank = places.where("blank").select("doc_id", "line_no", own.alias("head"), F.lit(0).cast("long").alias("n_links"))
-    return known.union(blank).select(
-        "doc_id", "line_no", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"), "n_links", F.col("head").eqNullSafe(own).alias("kept")
-    )
+    places = materialize(split_lines(rows, whole=False))
+    known = places.where("not blank").join(of_text, ["h1", "h2"]).select("doc_id", "t", "line_no", "blank", "copies", "head", "n_links")
+    blank = places.where("blank").select("doc_id", "t", "line_no", "blank", "copies", place.alias("head"), F.lit(0).cast("long").alias("n_links"))
+    # a row for each copy, of which the first stands for all
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+    each = known.union(blank)
+    each = each.where("copies = 1").withColumn("copy", F.lit(1).cast("long")).union(each.where("copies > 1").select("*", copy))
+    kept = F.col("blank") | (F.col("head").eqNullSafe(place) & (F.col("copy") == 1))
+    return each.select("doc_id", "line_no", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"), "n_links", kept.alias("kept"))

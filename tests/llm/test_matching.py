@@ -89,7 +89,7 @@ def test_line_classes(docs):
             if line.strip():
                 at.setdefault(line, (d, n))
     texts = list(at)
-    near = {x: [y for y in texts if y != x and min(len(x), len(y)) >= lines.LEAST and lines._plain(x, y) <= 2] for x in texts}
+    near = {x: [y for y in texts if y != x and lines._plain(x, y) <= 2] for x in texts}
     label = {x: x for x in texts}
     for _ in texts:
         label = {x: min((label[y] for y in [x, *near[x]]), key=lambda y: (at[y][0] is not None, at[y])) for x in texts}
@@ -151,10 +151,68 @@ def test_urls_against_sql(spark):
     assert urls.url_verdicts(spark.createDataFrame([], "page_id bigint, url string")).collect() == []
 
 
+def line_truth(rows, tau=2):
+    """(doc_id, line_no, class place, n_links, kept) of every line, by comparing all texts."""
+    places, seen = [], defaultdict(int)
+    for d, text in rows:
+        text = text or ""
+        seen[d, text] += 1
+        places += [((d is not None, d or 0), text, seen[d, text], n, line) for n, line in enumerate(text.split("\n"))]
+    texts = sorted({p[4] for p in places if p[4].strip()})
+    near = {x: [y for y in texts if y != x and abs(len(x) - len(y)) <= tau and lines._plain(x, y) <= tau] for x in texts}
+    label = {x: x for x in texts}
+    changed = True
+    while changed:
+        after = {x: min(label[y] for y in [x, *near[x]]) for x in texts}
+        changed, label = after != label, after
+    return places, label, near
+
+
+def test_lines_of_every_length(docs):
+    """Lines of 1 to 25 characters, repeated rows, several texts of one document and null ids, against all pairs."""
+    rng = random.Random(12)
+    every = [rng.choice(["a", "b", "ab", "ba", "é", "xyz", "x z"]) for _ in range(12)]
+    for n in range(3, 26):
+        x = "".join(rng.choice("abcdefgh ") for _ in range(n)).strip() or "q"
+        every.append(x)
+        for _ in range(4):
+            y = list(x)
+            for _ in range(rng.randint(1, 3)):
+                k = rng.randrange(len(y)) if y else 0
+                y[k : k + 1] = rng.choice([[], ["z"], ["z", "q"]])
+            every.append("".join(y))
+    rng.shuffle(every)
+    rows = [(i // 2 if i < 8 else i, "\n".join(every[4 * i : 4 * i + 4])) for i in range(len(every) // 4 + 1)]
+    rows += [rows[0], rows[0], (None, rows[1][1]), (None, rows[1][1]), (None, "menu\n\nmenus"), (500, None), (500, None)]
+    places, label, near = line_truth(rows)
+    got = lines.line_classes(docs([(d, t, None, None, None) for d, t in rows])).collect()
+    want = sorted((str(p[0][1] if p[0][0] else None), p[3], len(near[p[4]]) if p[4].strip() else 0) for p in places)
+    assert sorted((str(r["doc_id"]), r["line_no"], r["n_links"]) for r in got) == want
+    blank = sum(not p[4].strip() for p in places)
+    assert sum(r["kept"] for r in got) == blank + len(set(label.values()))  # one line of every class
+    # lines of unique places name the first place of their class
+    held = defaultdict(list)
+    for p in places:
+        if p[4].strip():
+            held[label[p[4]]].append(p[0])
+    by = {}
+    for r in got:
+        by.setdefault((r["doc_id"], r["line_no"]), set()).add((r["class_doc_id"] is not None, r["class_doc_id"] or 0))
+    for p in places:
+        if p[4].strip() and p[0][0]:
+            assert min(held[label[p[4]]]) in by[p[0][1], p[3]]
+
+
+def test_repeated_rows_keep_one_of_each_line(docs):
+    rows = [(1, "one line here\nanother line there", None, None, None)] * 2 + [(None, "no id at all\nno id at all", None, None, None)] * 3
+    got = sorted((str(r["doc_id"]), r["line_no"], r["kept"]) for r in lines.line_classes(docs(rows)).collect())
+    assert got == [("1", 0, False), ("1", 0, True), ("1", 1, False), ("1", 1, True)] + [("None", 0, False)] * 2 + [("None", 0, True)] + [("None", 1, False)] * 3
+
+
 def test_short_lines_link(docs):
-    """Short lines join as long ones do, and so do lines on either side of 20 characters."""
-    texts = ["Share this page", "Share this page.", "Click to read more", "Click to read more!", "abcdefghij klmnopqr", "abcdefghij klmnopqrst", "Menu", "Menus", "xyz", "no"]
-    near = [sum(x != y and min(len(x), len(y)) >= 3 and lines._plain(x, y) <= 2 for y in texts) for x in texts]
+    """Short lines join as long ones do, and so do lines on either side of 8, 10 and 20 characters."""
+    texts = ["Share this page", "Share this page.", "Click to read more", "Click to read more!", "abcdefghij klmnopqr", "abcdefghij klmnopqrst", "12345678", "1234567890", "Menu", "Menus", "xyz", "no"]
+    near = [sum(x != y and lines._plain(x, y) <= 2 for y in texts) for x in texts]
     got = {r["doc_id"]: (r["n_links"], r["kept"]) for r in lines.line_classes(docs([(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
-    assert [got[i][0] for i in range(len(texts))] == near == [1] * 8 + [0] * 2
-    assert [i for i in got if got[i][1]] and sorted(i for i in got if got[i][1]) == [0, 2, 4, 6, 8, 9]
+    assert [got[i][0] for i in range(len(texts))] == near == [1] * 10 + [0] * 2
+    assert sorted(i for i in got if got[i][1]) == [0, 2, 4, 6, 8, 10, 11]
