@@ -27,36 +27,16 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-_LEVEL = """
-, c{k} AS (SELECT {node}, s{k}, CAST(sum(bad) AS BIGINT) AS b, CAST(sum(lab) AS BIGINT) AS l FROM r{j} GROUP BY ALL),
-n{k} AS (SELECT {node}, sum(b) AS nb, sum(l) AS nl FROM c{k} GROUP BY ALL),
-m{k} AS (
-  SELECT {cnode}, c{k}.s{k},
-         CASE WHEN s{k} = '' OR (l > 0 AND abs(b / l - nb / nl) > 2.0 * sqrt(nb / nl * (1 - nb / nl) / l)) THEN s{k} ELSE '*' END AS t{k}
-  FROM c{k} JOIN n{k} USING ({node})
-), r{k} AS (SELECT * FROM r{j} JOIN m{k} USING ({node}, s{k}))"""
-
-
-def _level(k: int) -> str:
-    node = ["host", *(f"t{j}" for j in range(1, k))]
-    return _LEVEL.format(k=k, j=k - 1, node=", ".join(node), cnode=", ".join(f"c{k}.{c}" for c in node))
-
-
-def _segment(k: int) -> str:
-    s = f"coalesce(seg[{k}], '')"
-    variable = f"regexp_full_match({s}, '[0-9]+(\\.[a-z]{{2,5}})?') OR regexp_full_match({s}, '[0-9a-fA-F]{{8,}}') OR length({s}) > 24"
-    return f"CASE WHEN {variable} THEN '*' || regexp_extract({s}, '(\\.[a-z]{{2,5}})?$', 1) ELSE {s} END AS s{k}"
-
-
-URL_FILTER = (
-    r"""
-WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+URL_FILTER = r"""
+WITH RECURSIVE u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM u
 ), x AS (
-  SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS seg,
+  SELECT *, array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
+           lambda s: CASE WHEN regexp_full_match(s, '[0-9]+(\.[a-z]{2,5})?') OR regexp_full_match(s, '[0-9a-fA-F]{8,}')
+                          THEN '*' || regexp_extract(s, '(\.[a-z]{2,5})?$', 1) ELSE s END), '/') AS lex,
          CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
               WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
               WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
@@ -64,21 +44,34 @@ h AS (
               WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
   FROM h
 ), p AS (
-  SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said,
-         """
-    + ", ".join(_segment(k) for k in (1, 2, 3))
-    + r"""
-  FROM x
-), r0 AS (SELECT host, s1, s2, s3, count(*) FILTER (said = 'block') AS bad, count(said) AS lab FROM p GROUP BY ALL)"""
-    + "".join(_level(k) for k in (1, 2, 3))
-    + r""",
-g AS (SELECT coalesce(sum(bad) / nullif(sum(lab), 0), 0) AS share FROM r3),
-hp AS (SELECT host, (sum(bad) + 4.0 * (SELECT share FROM g)) / (sum(lab) + 4.0) AS hp FROM r3 GROUP BY host),
-tp AS (SELECT host, t1, t2, t3, sum(bad) AS tb, sum(lab) AS tl FROM r3 GROUP BY ALL),
-j AS (SELECT host, t1, t2, t3, (tb + 4.0 * hp) / (tl + 4.0) AS purity FROM tp JOIN hp USING (host))
+  SELECT page_id, host, path, lex, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said FROM x
+), r(host, lex, bad, lab, tpl, k, done) AS (
+  SELECT host, lex, count(*) FILTER (said = 'block'), count(said), '', 0, false FROM p GROUP BY host, lex
+  UNION ALL (
+    WITH n AS (
+      SELECT host, lex, bad, lab, tpl, k, CASE WHEN lex = '' THEN [] ELSE string_split(lex, '/') END AS seg,
+             sum(bad) OVER w AS nb, sum(lab) OVER w AS nl, count(*) OVER w AS nr
+      FROM r WHERE NOT done WINDOW w AS (PARTITION BY host, tpl)
+    ), o AS (SELECT *, nb > 0 AND nb < nl AND nr > 1 AND len(seg) > k AS cuts FROM n),
+    c AS (SELECT host, tpl, seg[k + 1] AS child, sum(bad) AS b, sum(lab) AS l FROM o WHERE cuts GROUP BY ALL),
+    a AS (
+      SELECT host, tpl, b, l, m, CASE WHEN l > 0 AND (coalesce(l0, 0) = 0 OR abs(b / l - b0 / l0) > 2.0::DOUBLE * sqrt((b + b0) / (l + l0) * (1 - (b + b0) / (l + l0)) * (1.0::DOUBLE / l + 1.0::DOUBLE / l0))) THEN 1 ELSE 0 END AS parts
+      FROM (SELECT *, lag(b) OVER v AS b0, lag(l) OVER v AS l0 FROM (SELECT host, tpl, b, l, count(*) AS m FROM c GROUP BY ALL)
+            WINDOW v AS (PARTITION BY host, tpl ORDER BY l > 0, CASE WHEN l > 0 THEN b / l END NULLS FIRST, l))
+    ), g AS (
+      SELECT host, tpl, b, l, grp, sum(m) OVER (PARTITION BY host, tpl, grp) AS members
+      FROM (SELECT *, CAST(sum(parts) OVER (PARTITION BY host, tpl ORDER BY l > 0, CASE WHEN l > 0 THEN b / l END NULLS FIRST, l ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM a)
+    ), t AS (SELECT c.host, c.tpl, child, CASE WHEN members = 1 THEN child ELSE '{' || grp || '}' END AS name FROM c JOIN g ON c.host = g.host AND c.tpl = g.tpl AND c.b = g.b AND c.l = g.l)
+    SELECT host, lex, bad, lab, CASE WHEN len(seg) <= k THEN tpl WHEN nb > 0 AND nb < nl THEN tpl || '/' || array_to_string(seg[k + 1:], '/') ELSE tpl || '/**' END, k, true FROM o WHERE NOT cuts
+    UNION ALL
+    SELECT o.host, lex, bad, lab, o.tpl || '/' || name, k + 1, false FROM o JOIN t ON o.host = t.host AND o.tpl = t.tpl AND seg[k + 1] = child WHERE cuts
+  )
+), e AS (SELECT * FROM r WHERE done),
+share AS (SELECT coalesce(sum(bad) / nullif(sum(lab), 0), 0) AS share FROM e),
+hp AS (SELECT host, (sum(bad) + 4.0 * (SELECT share FROM share)) / (sum(lab) + 4.0) AS hp FROM e GROUP BY host),
+tp AS (SELECT host, tpl, sum(bad) AS tb, sum(lab) AS tl FROM e GROUP BY ALL),
+j AS (SELECT host, tpl, (tb + 4.0 * hp) / (tl + 4.0) AS purity FROM tp JOIN hp USING (host))
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
-       host || CASE WHEN t1 <> '' THEN '/' || t1 ELSE '' END || CASE WHEN t2 <> '' THEN '/' || t2 ELSE '' END || CASE WHEN t3 <> '' THEN '/' || t3 ELSE '' END AS template,
-       round(CAST(purity AS DOUBLE), 9) AS purity
-FROM p JOIN r3 USING (host, s1, s2, s3) JOIN j USING (host, t1, t2, t3)
+       host || tpl AS template, round(CAST(purity AS DOUBLE), 9) AS purity
+FROM p JOIN e USING (host, lex) JOIN j USING (host, tpl)
 """
-)

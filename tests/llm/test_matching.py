@@ -134,7 +134,8 @@ ODD_URLS = [None, "", "no scheme", "http://", "http://HOST.Example.ORG", "https:
 
 def test_urls_against_sql(spark):
     rng = random.Random(1)
-    made = [f"http://h{rng.randint(0, 3)}.{rng.choice(['org', 'com', 'net', 'example.org'])}/{rng.choice(['en', 'de', 'fr', 'es', 'blog'])}/{rng.choice(['1', '20', 'a', 'b'])}{rng.choice(['', '.html', '/x/9'])}" for _ in range(400)]
+    made = [f"http://h{rng.randint(0, 3)}.{rng.choice(['org', 'com', 'net', 'example.org'])}/{rng.choice(['en', 'de', 'fr', 'es', 'blog'])}/{rng.choice(['1', '20', 'a', 'b'])}{rng.choice(['', '.html', '/x/9', '/x/y/z' + rng.choice('abc') + '/deep/' + rng.choice('pq')])}" for _ in range(900)]
+    made += [f"http://h0.example.org/en/{rng.choice(['a', '1'])}b/{rng.choice('abcd')}/{rng.choice('xy')}/{rng.randint(0, 3)}/{rng.choice('mnop')}/end" for _ in range(300)]
     rows = [(i, u) for i, u in enumerate(ODD_URLS + made + made[:20])]
     got = urls.url_verdicts(spark.createDataFrame(rows, "page_id bigint, url string").selectExpr("*", "url AS host", "url AS path")).toPandas()
     con = duckdb.connect()
@@ -151,6 +152,20 @@ def test_urls_against_sql(spark):
     assert urls.url_verdicts(spark.createDataFrame([], "page_id bigint, url string")).collect() == []
 
 
+def test_deep_paths_and_similar_branches(spark):
+    """Branches are told apart at any depth, and those of about one share are merged, whatever their number."""
+    rows = [f"http://a.net/p/q/r/s/t/{c}/{i}" for c in ("good", "fine", "bad", "vile", "new") for i in range(60)]
+    rules = [("block", "a.net", f"/p/q/r/s/t/{c}/{i}") for c in ("bad", "vile") for i in range(1, 10)]
+    rules += [("allow", "a.net", f"/p/q/r/s/t/{c}/{i}") for c in ("good", "fine") for i in range(1, 10)]
+    got = urls.url_verdicts(spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string"), rules).collect()
+    free = {(r["path"].split("/")[6], r["template"], r["verdict"]) for r in got if r["rule"] is None}
+    assert {(c, v) for c, _, v in free} >= {("good", "allow"), ("fine", "allow"), ("bad", "block"), ("vile", "block")}
+    of = {c: t for c, t, _ in free}
+    assert of["good"] == of["fine"] != of["bad"] == of["vile"] and of["good"].startswith("a.net/p/q/r/s/t/{")
+    long = "http://b.net/" + "/".join(f"s{i}" for i in range(3000))
+    assert urls.url_verdicts(spark.createDataFrame([(1, long), (2, long + "x")], "page_id bigint, url string")).count() == 2
+
+
 def line_truth(rows, tau=2):
     """(doc_id, line_no, class place, n_links, kept) of every line, by comparing all texts."""
     places, seen = [], defaultdict(int)
