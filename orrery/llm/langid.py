@@ -89,8 +89,9 @@ def profiles(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(f)), pa.array(f), pa.array(n[at : at + 50_000])], ["lang", "gram", "n"])
 
     n = rows.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
-    return n.withColumn("place", place).where(F.col("place") < PROFILE).select("lang", "gram", "place")
+    # tasks keep PROFILE rows a language each before any language's rows meet
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    return n.withColumn("rank", rank).where(F.col("rank") <= PROFILE).select("lang", "gram", (F.col("rank") - 1).alias("place"))
 
 
 def languages(docs: DataFrame) -> DataFrame:

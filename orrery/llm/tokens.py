@@ -5,19 +5,24 @@ with one row for each shard and
   shard     long    order of the shards; documents ascend by doc_id within and across shards
   first_id, last_id long   range of doc_id, for pruning (null if a null doc_id is in the shard)
   n_docs, n_tokens long
-  keys      binary  int64 doc_ids in order, for listing (null as the smallest int64)
-  levels    binary  uint32 count, then for each level uint32 words and its uint64 bitmap words
+  n_null    long    how many of the shard's doc_ids are null; they come last
+  keys      binary  int64 doc_ids in order, for listing (0 in place of null)
+  levels    binary  uint32 count, then for each level uint32 words, uint64 slots before it, its rank blocks (uint32
+                    bits set before each BLOCK words) and its uint64 bitmap words
   slots     binary  for each slot of the hash: uint64 first id's place, uint32 ids, uint32 fingerprint
   width     long    bytes of an id: 2 if the vocabulary has 65,536 ids or fewer, else 4
   payload   binary  ids as little-endian unsigned integers of that width, nothing between documents
-A key's slot is the number of bits set before its own, over all levels; a key unlike any stored is told by the
-fingerprint, up to one in 2^32. The n-th repeat of a doc_id in a shard is a key of its own.
+A key's slot is the number of bits set before its own, over all levels: the level's slots, its rank block's count and
+the bits of at most BLOCK words, whatever the shard's size; the ids are then read at their place. A key unlike any
+stored is told by the fingerprint, up to one in 2^32. The n-th repeat of a doc_id in a shard is a key of its own.
 
-Null text is the empty text: only the end id. A null doc_id comes last. Other columns are ignored.
+Null text is the empty text: only the end id. A null doc_id comes last. A very long text is encoded whole and may make
+a shard of its own. An empty table gives no shards. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -47,16 +52,28 @@ RUN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 BYTE_SIGNS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
 #: What a tokenizer must encode alike whole and in parts to be taken word by word.
 PROBE = "Ab  cd,\nEf's zählt ÄRGER! über; 12x3 (ça) \t naïve... Ho-ho&& x"
-NO_ID = -(1 << 63)
-SHARD_SCHEMA = "shard long, first_id long, last_id long, n_docs long, n_tokens long, keys binary, levels binary, slots binary, width long, payload binary"
+#: Bitmap words of a rank block.
+BLOCK = 8
+SHARD_SCHEMA = "shard long, first_id long, last_id long, n_docs long, n_null long, n_tokens long, keys binary, levels binary, slots binary, width long, payload binary"
+#: The normaliser and pre-tokeniser for which parts can be encoded apart.
+SPLITTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 SLOT = np.dtype([("at", "<u8"), ("ids", "<u4"), ("print", "<u4")])
 
 
 class Encoder:
     """Ids of texts as bytes.
 
-    A tokenizer that drops white space, parts signs from letters and ignores case, as probes tell, encodes part
-    by part: each new part once, a word's tail of ASCII signs apart, and a run of small letters by the model
+    A tokenizer with the normaliser and pre-tokeniser of SPLITTING, which drops white space, parts signs from letters and
+    ignores case, encodes part by part: each new part once, a word's tail of ASCII signs apart, and a run of small letters by the model
     alone, since normalising and pre-tokenising leave such a run whole. Texts in which a special token or a
     combining mark could be in play are not lower-cased here. Any other tokenizer gets whole texts.
     """
@@ -69,8 +86,10 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[bytes, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        known = all(made[k] == v for k, v in SPLITTING.items()) and all(t["content"].startswith("<|") for t in made["added_tokens"])
         parts = [(w, *TAILED(w.encode()).groups()) for w in PROBE.lower().split() if TAILED(w.encode())]
-        self.by_word = self.plain(PROBE) == [i for w in PROBE.lower().split() for i in self.plain(w)]
+        self.by_word = known and self.plain(PROBE) == [i for w in PROBE.lower().split() for i in self.plain(w)]
         self.by_word &= all(self.plain(w) == [*self.plain(run.decode()), *self.plain(tail.decode())] for w, run, tail in parts)
         self.by_run = self.by_word and all(self.model(run) == self.pack(self.plain(run.decode())) for _, run, _ in parts if RUN(run))
 
@@ -161,12 +180,15 @@ def _mix64(x: np.ndarray, salt: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def index_keys(ids: np.ndarray) -> np.ndarray:
-    """64-bit keys of sorted doc_ids; repeats of an id are numbered."""
+def index_keys(ids: np.ndarray, n_null: int = 0) -> np.ndarray:
+    """64-bit keys of sorted doc_ids, the last n_null of which are null; repeats of an id are numbered."""
     first = np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, bool)
     at = np.arange(len(ids))
+    first[at == len(ids) - n_null] = True
     again = at - np.maximum.accumulate(np.where(first, at, 0))
-    return _mix64(ids.astype(np.int64).view(np.uint64), 1) ^ np.where(again == 0, np.uint64(0), _mix64(again.astype(np.uint64), 2))
+    own = _mix64(ids.astype(np.int64).view(np.uint64), 1)
+    own[len(ids) - n_null :] = _mix64(np.zeros(n_null, np.uint64), 4)
+    return own ^ np.where(again == 0, np.uint64(0), _mix64(again.astype(np.uint64), 2))
 
 
 def build_levels(keys: np.ndarray) -> list[np.ndarray]:
@@ -196,16 +218,41 @@ def slots_of(keys: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
 
 
 def pack_levels(levels: list[np.ndarray]) -> bytes:
-    return b"".join([np.uint32(len(levels)).tobytes(), *(np.uint32(len(x)).tobytes() + x.tobytes() for x in levels)])
+    out, base = [np.uint32(len(levels)).tobytes()], 0
+    for words in levels:
+        counts = np.bitwise_count(words).astype(np.int64)
+        blocks = np.add.reduceat(counts, np.arange(0, len(words), BLOCK))
+        ranks = (np.cumsum(blocks) - blocks).astype("<u4")
+        out += [np.uint32(len(words)).tobytes(), np.uint64(base).tobytes(), ranks.tobytes(), words.tobytes()]
+        base += int(counts.sum())
+    return b"".join(out)
+
+
+def _levels(raw: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """For each level: words, slots before it, and where its rank blocks and its words begin; nothing else is read."""
+    at = 4
+    for _ in range(int(np.frombuffer(raw, "<u4", 1)[0])):
+        n, base = int(np.frombuffer(raw, "<u4", 1, at)[0]), int(np.frombuffer(raw, "<u8", 1, at + 4)[0])
+        words = at + 12 + 4 * -(-n // BLOCK)
+        yield n, base, at + 12, words
+        at = words + 8 * n
 
 
 def unpack_levels(raw: bytes) -> list[np.ndarray]:
-    out, at = [], 4
-    for _ in range(int(np.frombuffer(raw, "<u4", 1)[0])):
-        n = int(np.frombuffer(raw, "<u4", 1, at)[0])
-        out.append(np.frombuffer(raw, "<u8", n, at + 4))
-        at += 4 + 8 * n
-    return out
+    return [np.frombuffer(raw, "<u8", n, words) for n, _, _, words in _levels(raw)]
+
+
+def slot_of(key: np.ndarray, raw: bytes) -> int:
+    """The slot of one key, -1 for a key that no level holds: a word a level, and one rank block."""
+    for level, (n, base, ranks, words) in enumerate(_levels(raw)):
+        at = int(_mix64(key, 16 + level)[0] % np.uint64(n * 64))
+        word, bit = at >> 6, at & 63
+        if int(np.frombuffer(raw, "<u8", 1, words + 8 * word)[0]) >> bit & 1:
+            start = word // BLOCK * BLOCK
+            before = [int(x) for x in np.frombuffer(raw, "<u8", word - start + 1, words + 8 * start)]
+            before[-1] &= (1 << bit) - 1
+            return base + int(np.frombuffer(raw, "<u4", 1, ranks + 4 * (word // BLOCK))[0]) + sum(x.bit_count() for x in before)
+    return -1
 
 
 def prints(keys: np.ndarray) -> np.ndarray:
@@ -214,8 +261,8 @@ def prints(keys: np.ndarray) -> np.ndarray:
 
 def pack(shard: int, ids: list[int | None], encoded: list[bytes], width: int) -> dict:
     """A shard's row."""
-    raw = np.array([NO_ID if i is None else i for i in ids], dtype="<i8")
-    keys = index_keys(raw)
+    raw, n_null = np.array([i or 0 for i in ids], dtype="<i8"), sum(i is None for i in ids)
+    keys = index_keys(raw, n_null)
     levels = build_levels(keys)
     length = np.array([len(e) // width for e in encoded], dtype=np.int64)
     slots = np.zeros(len(keys), dtype=SLOT)
@@ -223,18 +270,19 @@ def pack(shard: int, ids: list[int | None], encoded: list[bytes], width: int) ->
     slots["at"][at], slots["ids"][at], slots["print"][at] = np.cumsum(length) - length, length, prints(keys)
     ends = (ids[0], ids[-1]) if None not in (ids[0], ids[-1]) else (None, None)
     return {
-        "shard": shard, "first_id": ends[0], "last_id": ends[1], "n_docs": len(ids), "n_tokens": int(length.sum()),
+        "shard": shard, "first_id": ends[0], "last_id": ends[1], "n_docs": len(ids), "n_null": n_null, "n_tokens": int(length.sum()),
         "keys": raw.tobytes(), "levels": pack_levels(levels), "slots": slots.tobytes(), "width": width, "payload": b"".join(encoded),
     }
 
 
-def find(row, doc_id: int | None, repeat: int = 0) -> np.ndarray | None:
-    """The ids of a document in a shard's row, in constant time, or None."""
-    key = index_keys(np.full(repeat + 1, NO_ID if doc_id is None else doc_id, dtype="<i8"))[-1:]
-    slot = int(slots_of(key, unpack_levels(row["levels"]))[0])
+def find(row: dict, doc_id: int | None, repeat: int = 0) -> np.ndarray | None:
+    """The ids of a document in a shard's row, in a time that does not depend on the shard's size, or None."""
+    own = _mix64(np.array([doc_id], dtype=np.int64).view(np.uint64), 1) if doc_id is not None else _mix64(np.zeros(1, np.uint64), 4)
+    key = own ^ (_mix64(np.array([repeat], dtype=np.uint64), 2) if repeat else np.uint64(0))
+    slot = slot_of(key, row["levels"])
     if slot < 0:
         return None
-    s = np.frombuffer(row["slots"], SLOT)[slot]
+    s = np.frombuffer(row["slots"], SLOT, 1, SLOT.itemsize * slot)[0]
     if s["print"] != prints(key)[0]:
         return None
     return np.frombuffer(row["payload"], f"<u{row['width']}", int(s["ids"]), row["width"] * int(s["at"]))
@@ -281,14 +329,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, sha
     encode_shards(docs, tokenizer, end, shard_bytes).write.option("compression", "none").parquet(path)
 
 
-def lookup(spark: SparkSession, path: str, doc_id: int, repeat: int = 0) -> list[int] | None:
-    """One document's ids: the range prunes shards, the hash finds the place."""
-    here = (F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id) | F.col("first_id").isNull()
-    for row in spark.read.parquet(path).where(here).orderBy("shard").toLocalIterator():
-        ids = find(row, doc_id, repeat)
-        if ids is not None:
-            return ids.tolist()
-    return None
+def lookup(spark: SparkSession, path: str, doc_id: int | None, repeat: int = 0) -> list[int] | None:
+    """One document's ids: the range prunes shards, executors look into those left, and only the ids come to the driver."""
+    here = F.col("n_null") > 0 if doc_id is None else ((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)) | F.col("first_id").isNull()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in (x for i in range(b.num_rows) for x in b.slice(i, 1).to_pylist()):
+                ids = find(row, doc_id, repeat)
+                if ids is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int64()))], ["shard", "ids"])
+
+    rows = spark.read.parquet(path).where(here).select("shard", "levels", "slots", "width", "payload")
+    found = rows.mapInArrow(run, "shard long, ids array<long>").orderBy("shard").first()
+    return found["ids"] if found else None
 
 
 def read_digests(shards: DataFrame) -> DataFrame:
@@ -299,7 +353,7 @@ def read_digests(shards: DataFrame) -> DataFrame:
         for b in batches:
             for row in (x for i in range(b.num_rows) for x in b.slice(i, 1).to_pylist()):
                 ids = np.frombuffer(row["keys"], "<i8")
-                keys = index_keys(ids)
+                keys = index_keys(ids, row["n_null"])
                 at = slots_of(keys, unpack_levels(row["levels"]))
                 s = np.frombuffer(row["slots"], SLOT)[at]
                 if (at < 0).any() or (s["print"] != prints(keys)).any():
@@ -307,9 +361,9 @@ def read_digests(shards: DataFrame) -> DataFrame:
                 view = np.frombuffer(row["payload"], f"<u{row['width']}").astype("<u4")
                 crc = [zlib.crc32(view[a : a + n]) for a, n in zip(s["at"].tolist(), s["ids"].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=ids == NO_ID), pa.array(row["base"] + s["at"].astype(np.int64)), pa.array(s["ids"].astype(np.int64)), pa.array(crc, pa.int64())],
+                    [pa.array(ids, mask=np.arange(len(ids)) >= len(ids) - row["n_null"]), pa.array(row["base"] + s["at"].astype(np.int64)), pa.array(s["ids"].astype(np.int64)), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    whole = shards.join(starts, "shard").select("shard", "base", "keys", "levels", "slots", "width", "payload")
+    whole = shards.join(starts, "shard").select("shard", "base", "n_null", "keys", "levels", "slots", "width", "payload")
     return whole.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -44,6 +44,34 @@ def test_round_trip(spark, docs, tmp_path):
     assert keys == sorted(keys)
     assert tokens.lookup(spark, path, 6) == dict(ids)[6]
     assert tokens.lookup(spark, path, 12345) is None
+    assert tokens.lookup(spark, path, None) == tokens.lookup(spark, path, None, 1) == dict(ids)[None]
+    assert tokens.lookup(spark, path, None, 2) is None
+
+
+def test_smallest_id_is_an_id(spark, tmp_path):
+    path, least = str(tmp_path / "t"), -(1 << 63)
+    docs = spark.createDataFrame([(least, "a b"), (None, "c"), (0, "d"), (0, "e e")], "doc_id long, text string")
+    tokens.write_tokens(docs, path, WORD)
+    got = tokens.read_digests(spark.read.parquet(path)).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [least, 0, 0, None]
+    plain = Tokenizer.from_file(WORD)
+    assert tokens.lookup(spark, path, least) == [*plain.encode("a b", add_special_tokens=False).ids, 1]
+    assert tokens.lookup(spark, path, None) == [*plain.encode("c", add_special_tokens=False).ids, 1]
+
+
+def test_single_lookups_agree_with_the_whole_index():
+    keys = tokens.index_keys(np.concatenate([np.arange(-40_000, 1, 2, dtype="<i8"), np.zeros(5, "<i8")]), 5)
+    levels = tokens.build_levels(keys)
+    raw, slots = tokens.pack_levels(levels), tokens.slots_of(keys, levels)
+    assert sorted(slots) == list(range(len(keys)))
+    assert [tokens.slot_of(keys[i : i + 1], raw) for i in range(0, len(keys), 97)] == slots[::97].tolist()
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    """A tokenizer unlike the one that splits at words is never fed parts."""
+    made = Tokenizer.from_file(WORD).to_str().replace('"Lowercase"', '"StripAccents"')
+    (tmp_path / "t.json").write_text(made)
+    assert tokens.Encoder(WORD).by_word and not tokens.Encoder(str(tmp_path / "t.json")).by_word
 
 
 def test_index_is_minimal_and_perfect():
