@@ -61,7 +61,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """word, at, len of every window's rarest word; windows has win."""
+    """word, at, win: every window with its rarest word and that word's place; windows has win."""
     parts = windows.select("win", F.posexplode("win").alias("at", "word"))
     vocabulary = materialize(parts.select("word").distinct())
     n = vocabulary.count()
@@ -73,23 +73,37 @@ def prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
     # a word that no document holds rules its windows out
     rare = parts.join(small(materialize(rarity), n), "word", "left")
     first = rare.groupBy("win").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "at")).alias("first"))
-    return first.where("first.n > 0").select(F.col("first.word").alias("word"), F.col("first.at").alias("at"), F.size("win").alias("len")).distinct()
+    return first.where("first.n > 0").select(F.col("first.word").alias("word"), F.col("first.at").alias("at"), "win")
 
 
-def found_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """doc_id, h, start, len, win of every place where a window occurs; docs is keyed, windows has win."""
-    prefix = materialize(prefixes(docs, windows))
+def found_in_place(docs: DataFrame, prefix: DataFrame) -> DataFrame:
+    """found_windows with the prefix words sent to the texts: each hit is compared where it is found, and no text moves."""
+    place = docs.select("doc_id", "h", words(F.col("text")).alias("w")).select("*", F.posexplode("w").alias("pos", "word"))
+    hit = place.join(F.broadcast(prefix), "word").withColumn("start", F.col("pos") - F.col("at")).where("start >= 0")
+    whole = F.when(F.col("start") + F.size("win") <= F.size("w"), F.slice(F.col("w"), F.col("start") + 1, F.size("win")) == F.col("win"))
+    return hit.where(whole).select("doc_id", "h", "start", F.size("win").alias("len"), "win")
+
+
+def found_by_shuffle(docs: DataFrame, windows: DataFrame, prefix: DataFrame) -> DataFrame:
+    """found_windows for windows that are too many to send around: texts meet their starts, cut windows meet the items'."""
+    own = prefix.select("word", "at", F.size("win").alias("len")).distinct()
     place = docs.select("doc_id", "h", F.posexplode(words(F.col("text"))).alias("pos", "word"))
-    hit = place.join(small(prefix, prefix.count()), "word").select("doc_id", "h", (F.col("pos") - F.col("at")).alias("start"), "len").where("start >= 0")
+    hit = place.join(own, "word").select("doc_id", "h", (F.col("pos") - F.col("at")).alias("start"), "len").where("start >= 0")
+    # a document has no more starts than words for each place and length
     starts = materialize(hit.distinct().groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "len")).alias("starts")))
     d, s = docs.select("doc_id", "h", "text"), starts.withColumnsRenamed({"doc_id": "s_id", "h": "s_h"})
-    # texts meet their few starts in a shuffle at every size; the starts are the hashed side
-    both = d.join(s.hint("shuffle_hash"), d.doc_id.eqNullSafe(s.s_id) & (d.h == s.s_h)).select("doc_id", "h", words(F.col("text")).alias("w"), "starts")
+    both = d.join(s, d.doc_id.eqNullSafe(s.s_id) & (d.h == s.s_h)).select("doc_id", "h", words(F.col("text")).alias("w"), "starts")
     fits = F.filter("starts", lambda c: c["start"] + c["len"] <= F.size("w"))
     cut = F.transform(fits, lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), F.slice(F.col("w"), c["start"] + 1, c["len"]).alias("win")))
     seen = both.select("doc_id", "h", F.explode(cut).alias("c")).select("doc_id", "h", "c.start", "c.len", "c.win")
-    wins = windows.select("win").distinct()
-    return seen.join(small(wins, windows.count()), "win").distinct()
+    return seen.join(windows.select("win").distinct(), "win")
+
+
+def found_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """doc_id, h, start, len, win of every place where a window occurs; docs is keyed, windows has win, each once."""
+    prefix = materialize(prefixes(docs, windows))
+    in_place = prefix.count() <= BROADCAST_ROWS  # rows of one word and of WIDTH words at most
+    return (found_in_place(docs, prefix) if in_place else found_by_shuffle(docs, windows, prefix)).distinct()
 
 
 def matches(rows: DataFrame, of_items: DataFrame) -> tuple[DataFrame, DataFrame]:
