@@ -1,11 +1,14 @@
 """Toxicity, language and quality: held-out accuracy, brute force for the counts, odd rows."""
 
+import math
 import random
 import re
 import zlib
 from collections import defaultdict
 
 import pytest
+import regex as unicode
+import xxhash
 
 from orrery.llm import langid, quality, toxicity
 
@@ -123,3 +126,83 @@ def test_quality_verdicts(corpus):
     good = {i: q for i, q, _ in truth}
     got = [r for r in quality.quality(docs, labels).collect() if not r["base_failed"]]
     assert sum(r["kept"] == bool(good[r["doc_id"]]) for r in got) / len(got) > 0.98
+    held = [r for r in got if fold(r["doc_id"]) == 0]
+    assert sum(r["kept"] == bool(good[r["doc_id"]]) for r in held) / len(held) > 0.98
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_quality_ratio_against_plain_python(corpus):
+    docs, labels, truth = corpus
+    rows, y = {r["doc_id"]: r["text"] for r in docs.collect()}, {i: q for i, q, _ in truth}
+
+    def buckets(text):
+        w = [x.encode() for x in unicode.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+", text.lower())]
+        one = [xxhash.xxh64_intdigest(x, 42) for x in w]
+        two = [xxhash.xxh64_intdigest(b, h) for h, b in zip(one, w[1:], strict=False)]
+        return [signed(h) % quality.BUCKETS for h in one + two]
+
+    every, trusted = defaultdict(int), defaultdict(int)
+    for i, text in rows.items():
+        for b in buckets(text):
+            every[b] += 1
+            trusted[b] += fold(i) > 1 and y[i] == 1
+    n, t = sum(every.values()), sum(trusted.values())
+    ratio = lambda b: math.log((trusted[b] + 1) / (t + quality.BUCKETS)) - math.log((every[b] + 1) / (n + quality.BUCKETS))
+    got = quality.quality(docs, labels).collect()
+    for r in got:
+        own = buckets(rows[r["doc_id"]])
+        assert r["ratio"] == pytest.approx(sum(map(ratio, own)) / len(own), abs=1e-5)
+    tune = [(r["ratio"], y[r["doc_id"]], r["kept"]) for r in got if fold(r["doc_id"]) == 1 and not r["base_failed"]]
+    least = min(sum((x >= c) != bool(q) for x, q, _ in tune) for c in [x for x, _, _ in tune])
+    assert sum(k != bool(q) for _, q, k in tune) <= least + 1  # the cut is one of 4096 values
+
+
+def test_toxicity_models_against_plain_python(spark, monkeypatch):
+    """Counts, discounts and shares by hand; each class's shares of the words after any word sum to 1."""
+    monkeypatch.setattr(toxicity, "DISCOUNT", 0.5)
+    monkeypatch.setattr(toxicity, "Z", 0.5)
+    rng = random.Random(9)
+    plain = [" ".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(60)]
+    rude = [" ".join([*(rng.choice("abcdefgh") for _ in range(6)), *rng.choice([["x", "y"], ["y"], ["a", "b", "a"]]), *(rng.choice("abcdefgh") for _ in range(3))]) for _ in range(20)]
+    texts = [(t, 0) for t in plain] + [(t, 1) for t in rude] + [("", 0), (None, 1)]
+    found = toxicity.models(toxicity.counts(spark.createDataFrame(texts, "text string, toxic int")))
+    n, seen = [defaultdict(set), defaultdict(set)], [defaultdict(set), defaultdict(set)]
+    for d, (text, c) in enumerate(texts):
+        w = toxicity.bins_of(text).tolist()
+        u = [toxicity.BINS, *w]
+        for i, x in enumerate(w):
+            n[c][x].add(d)
+            seen[c][x].add(u[i] & 63)
+            n[c][u[i], x].add(d)
+            seen[c][u[i], x].add((u[i - 1] if i else toxicity.BINS) & 63)
+    count = [{k: min(len(v), -64 * math.log1p(-min(len(seen[c][k]), 56) / 64)) for k, v in n[c].items()} for c in (0, 1)]
+    total = {two: [sum(v for k, v in count[c].items() if isinstance(k, tuple) == two) for c in (0, 1)] for two in (False, True)}
+
+    def kept(c, k):
+        share = total[isinstance(k, tuple)]
+        m = sum(count[i].get(k, 0) for i in (0, 1)) * share[c] / sum(share)
+        return max(count[c].get(k, 0) - m - 0.5 * math.sqrt(m) - 0.5, 0) / share[c]
+
+    words = {k for c in (0, 1) for k in n[c] if not isinstance(k, tuple)}
+    both = {k: sum(count[c].get(k, 0) for c in (0, 1)) for k in words}
+    spare = sum(min(v, 0.5) for v in both.values()) / toxicity.BINS
+    shared = {k: (max(v - 0.5, 0) + spare) / sum(both.values()) for k, v in both.items()}
+    for c in (0, 1):
+        free = 1 - sum(kept(c, k) for k in words)
+        for k in words:
+            assert found.word[c, k] == pytest.approx(kept(c, k) + free * shared[k])
+        assert found.word[c].sum() == pytest.approx(1) and found.first[c].sum() == pytest.approx(1)
+        pairs = {k: kept(c, k) for k in {*n[0], *n[1]} if isinstance(k, tuple) and kept(c, k) > 0}
+        assert found.freed[c] == pytest.approx(1 - sum(pairs.values()))
+        assert {(int(k) >> 21, int(k) & 0xFFFFF) for k, x in zip(found.pairs, found.kept[c], strict=True) if x} == set(pairs)
+        for u in [toxicity.BINS, *words, 12345]:
+            assert found.share(c, u).sum() == pytest.approx(1)
+    assert len(found.pairs) > 3
+    prepared = found.prepared()
+    for text, _ in texts[:80:7] + [("x y a b", 1), ("unseen words x y", 0)]:
+        w = toxicity.bins_of(text)
+        want = [sum(math.log(found.share(c, u)[x]) for u, x in zip(toxicity.before(w), w, strict=True)) / len(w) for c in (0, 1)]
+        assert toxicity.statistic_of(w, prepared) == pytest.approx(want[1] - want[0])

@@ -129,6 +129,66 @@ def test_shards(spark, docs):
     assert sharding.shard_table(docs([])).collect() == []
 
 
+def test_tree_against_plain_python(spark):
+    """The tree's cuts, worked out by hand on the same units."""
+    rng = random.Random(5)
+    groups = [(i, rng.randint(1, 900), rng.choice("aaab"), rng.choice("xy"), rng.choice([1, 2, 3, 50])) for i in range(400)]
+    units = sharding.placed_units(spark.createDataFrame(groups, "g long, w long, source string, lang string, size long"))
+    rows = [r.asDict() for r in units.collect()]
+    total = sum(r["w"] for r in rows)
+    for c, d in ((2, "d_source"), (3, "d_lang"), (4, "d_size")):
+        value = {g[0]: g[c] for g in groups}
+        for r in rows:
+            own = value[r["g"]]
+            middle = sum(g[1] for g in groups if g[c] < own) + sum(g[1] for g in groups if g[c] == own) / 2
+            assert r[d] == int(middle * sharding.BINS / total)
+    room = [10.0, 0.0, 5.0, 5.0, 7.0]
+
+    def cut(part, lo, hi):
+        if hi - lo == 1 or not part:
+            return {r["g"]: lo for r in part}
+        mid = (lo + hi) // 2
+        share = sum(room[lo:mid]) / sum(room[lo:hi]) if sum(room[lo:hi]) else 1.0
+        d = max(sharding.DIMENSIONS, key=lambda d: max(r[d] for r in part) - min(r[d] for r in part))
+        left, sofar = sum(r["w"] for r in part) * share, 0
+        for b in sorted({r[d] for r in part}):
+            here = sum(r["w"] for r in part if r[d] == b)
+            if sofar + here >= left:
+                break
+            sofar += here
+        want, sofar, h_cut = left - sofar, 0, 1 << sharding.HASH_BITS
+        for h in sorted({r["h"] for r in part if r[d] == b}):
+            here = sum(r["w"] for r in part if r[d] == b and r["h"] == h)
+            if sofar + here / 2 > want:
+                h_cut = h
+                break
+            sofar += here
+        right = [r for r in part if r[d] > b or (r[d] == b and r["h"] >= h_cut)]
+        return cut([r for r in part if r not in right], lo, mid) | cut(right, mid, hi)
+
+    got = {r["g"]: r["shard"] for r in sharding.tree(units, room).collect()}
+    assert got == cut(rows, 0, len(room)) and len(set(got.values())) == 4
+
+
+def test_groups_are_never_torn(spark, docs):
+    """Groups of every size, one of them larger than a shard, share a shard each, and the rest is level."""
+    sizes = [2, 3, 8, 40, 200, 300, 6000]
+    rows = [(1000 * k + i, f"group {k} " + "y" * 90, "en", str(i % 3), 1) for k, n in enumerate(sizes) for i in range(n)]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)] + [(10**6 + i, "z" * (i % 300), "de", "s", 1) for i in range(4000)]
+    got = sharding.shard_table(docs(rows)).collect()
+    text = {r[0]: r[1] for r in rows}
+    at, bytes_of = defaultdict(set), defaultdict(int)
+    for r in got:
+        at[text[r["doc_id"]]].add(r["shard"])
+        bytes_of[r["shard"]] += r["size"]
+    assert all(len(s) == 1 for s in at.values())
+    (alone,) = at["group 6 " + "y" * 90]
+    rest = [n for s, n in bytes_of.items() if s != alone]
+    assert len(rest) == 15 and max(rest) < 1.05 * min(rest) < bytes_of[alone]
+    few = sharding.kd_shards(spark.createDataFrame([(i, 100, i, "a", "b") for i in range(50)], "doc_id long, size long, g long, source string, lang string"), target_bytes=1000)
+    assert sorted(r["count"] for r in few.groupBy("shard").count().collect()) == [10] * 5
+
+
 ODD_URLS = [None, "", "no scheme", "http://", "http://HOST.Example.ORG", "https://example.org/es/1?x", "http://a.example.org/en/12#top", "x://b.com/fr/a/b/c/d/e", "http://b.com/de/", "http://notorg/en/1", "http://a.net/0123456789abcdef/" + "y" * 30, "a://b://c/d", "http://x.org?q=/es/"]
 
 
