@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from orrery.operators import graph
 from orrery.operators.components import components
 from orrery.operators.program import shortest
-from orrery.plans import iterate, materialize, partitioned, release
+from orrery.plans import iterate, materialize, partitioned, release, salted, sent
 
 DAMPING = 0.85
 #: Device damping: (108 t) >> 7.
@@ -34,18 +34,18 @@ def _over_vertices(edges: DataFrame, reached: DataFrame, value: str, unreached:
 def bfs_step(edges: DataFrame, depths: DataFrame, level: int) -> DataFrame:
     """depths (id, depth) of the vertices that the frontier of `level` reaches first, at level + 1."""
     frontier = depths.where(F.col("depth") == level).select(F.col("id").alias("src"))
-    found = edges.join(frontier, "src").select(F.col("dst").alias("id")).distinct()
+    found = graph.whole(edges).join(frontier, "src").select(F.col("dst").alias("id")).distinct()
     return found.join(depths, "id", "left_anti").select("id", F.lit(level + 1).cast("bigint").alias("depth"))
 
 
 def bfs(edges: DataFrame, source: int, unreached: int | None = None, dense: DataFrame | None = None) -> DataFrame:
     """id, depth by level-synchronous push from `source` over unit edges."""
-    kept = partitioned(edges.select("src", "dst"), "src")
+    kept, hubs = salted(edges.select("src", "dst"))
     state = materialize(_start(edges.sparkSession, source))
     frontier, level = state, 0
     try:
         while True:
-            found = kept.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+            found = kept.join(sent(frontier.select(F.col("id").alias("src")), hubs), ["src", "salt"]).select(F.col("dst").alias("id")).distinct()
             new = materialize(found.join(state, "id", "left_anti").select("id", F.lit(level + 1).cast("bigint").alias("depth")))
             if new.isEmpty():
                 return _over_vertices(edges, state, "depth", unreached, dense)
@@ -143,12 +143,12 @@ def pagerank(
     n = deg.count()
     if not n:
         return deg.select("id", F.lit(0.0).alias("rank"))
-    kept = partitioned(edges.select("src", "dst"), "src")
+    kept, hubs = salted(edges.select("src", "dst"))
     base = (1 - damping) / n
 
     def step(state: DataFrame, _: int) -> DataFrame:
         share = state.where("deg > 0").select(F.col("id").alias("src"), (F.col("rank") / F.col("deg")).alias("share"))
-        sums = kept.join(share, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
+        sums = kept.join(sent(share, hubs), ["src", "salt"]).groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
         new = F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))
         return state.join(sums, "id", "left").select("id", "deg", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved"))
 
@@ -180,18 +180,23 @@ def pagerank_errors(edges: DataFrame, rounds: int = 19, dense: DataFrame | None
     return edges.sparkSession.createDataFrame(list(enumerate(trace, 1)), "round bigint, error double")
 
 
-def pagerank_fixed(edges: DataFrame, rounds: int, bits: int = 23, damping: float = DAMPING, dense: DataFrame | None = None) -> DataFrame:
-    """id, score: PageRank in integers scaled by 2^bits, with integer division by degree and (108 t) >> 7."""
+def pagerank_fixed(edges: DataFrame, rounds: int, bits: int = 23, damping: float = DAMPING, dense: DataFrame | None = None, shifts: bool = True) -> DataFrame:
+    """id, score: PageRank in integers scaled by 2^bits, with integer division by degree.
+
+    A round's sum t is damped by (108 t) >> 7, or without `shifts` by damping * t, truncated.
+    """
     deg = _with_out_degree(edges, dense)
     n = max(deg.count(), 1)
-    kept = partitioned(edges.select("src", "dst"), "src")
+    kept, hubs = salted(edges.select("src", "dst"))
     scale = float(1 << bits)
     first, base = int(1.0 / n * scale), int((1.0 - damping) / n * scale)
 
     def step(state: DataFrame, _: int) -> DataFrame:
         share = state.where("deg > 0").select(F.col("id").alias("src"), F.call_function("div", "score", "deg").alias("share"))
-        sums = kept.join(share, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
-        new = F.lit(base).cast("bigint") + F.shiftright(F.lit(FIXED_DAMPING) * F.coalesce("got", F.lit(0).cast("bigint")), FIXED_SHIFT)
+        sums = kept.join(sent(share, hubs), ["src", "salt"]).groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
+        got = F.coalesce("got", F.lit(0).cast("bigint"))
+        damped = F.shiftright(F.lit(FIXED_DAMPING) * got, FIXED_SHIFT) if shifts else (F.lit(damping) * got).cast("bigint")
+        new = F.lit(base).cast("bigint") + damped
         return state.join(sums, "id", "left").select("id", "deg", new.alias("score"))
 
     try:

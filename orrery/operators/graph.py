@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 from orrery.plans import ranked, running_sum
 
 
+def whole(edges: DataFrame) -> DataFrame:
+    """The edges with both ends; one with a NULL end is no edge, here and in every operator."""
+    return edges.where("src is not null and dst is not null")
+
+
 def id_bounds(edges: DataFrame) -> DataFrame:
     """One row: min_id and max_id over both ends."""
-    return edges.agg(F.least(F.min("src"), F.min("dst")).alias("min_id"), F.greatest(F.max("src"), F.max("dst")).alias("max_id"))
+    return whole(edges).agg(F.least(F.min("src"), F.min("dst")).alias("min_id"), F.greatest(F.max("src"), F.max("dst")).alias("max_id"))
 
 
 def vertices(edges: DataFrame) -> DataFrame:
@@ -25,7 +30,7 @@ def degrees(edges: DataFrame, dense: DataFrame | None = None) -> DataFrame:
 
     Both ends of an edge are counted in one aggregation, so edges are read and shuffled once.
     """
-    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o")))).alias("e"))
+    ends = whole(edges).select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o")))).alias("e"))
     n = ends.groupBy("e.id").agg(F.sum("e.o").alias("out_deg"), F.sum(1 - F.col("e.o")).alias("in_deg"))
     every = vertices(edges) if dense is None else dense
     return every.join(n, "id", "left").select("id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("out_deg", "in_deg")])
@@ -33,7 +38,7 @@ def degrees(edges: DataFrame, dense: DataFrame | None = None) -> DataFrame:
 
 def adjacency(edges: DataFrame, by: str = "src", other: str = "dst") -> DataFrame:
     """id, neighbours (ascending, repeated edges kept) of every vertex that has any."""
-    return edges.groupBy(F.col(by).alias("id")).agg(F.sort_array(F.collect_list(other)).alias("neighbours"))
+    return whole(edges).groupBy(F.col(by).alias("id")).agg(F.sort_array(F.collect_list(other)).alias("neighbours"))
 
 
 def csr_offsets(edges: DataFrame) -> DataFrame:
@@ -44,13 +49,13 @@ def csr_offsets(edges: DataFrame) -> DataFrame:
 
 def csr_edges(edges: DataFrame) -> DataFrame:
     """pos, src, dst: edges in (src, dst) order, numbered from 0."""
-    return ranked(edges.select("src", "dst"), ["src", "dst"], out="pos")
+    return ranked(whole(edges).select("src", "dst"), ["src", "dst"], out="pos")
 
 
 def with_blocks(edges: DataFrame, block: int) -> DataFrame:
     """edges with blk_x = src div block and blk_y = dst div block."""
     cells = [F.floor(F.col(c) / block).cast("bigint").alias(n) for c, n in (("src", "blk_x"), ("dst", "blk_y"))]
-    return edges.select("*", *cells)
+    return whole(edges).select("*", *cells)
 
 
 def block_counts(edges: DataFrame, block: int) -> DataFrame:
@@ -60,53 +65,64 @@ def block_counts(edges: DataFrame, block: int) -> DataFrame:
 
 def grid_blocks(edges: DataFrame, block: int) -> DataFrame:
     """blk_x, blk_y, cnt of every block of the grid, empty ones with 0."""
-    side = id_bounds(edges).first()["max_id"] // block + 1
+    side = _side(edges, block)
     cells = edges.sparkSession.range(side * side).select(F.floor(F.col("id") / side).alias("blk_x"), (F.col("id") % side).alias("blk_y"))
     return cells.join(block_counts(edges, block), ["blk_x", "blk_y"], "left").select("blk_x", "blk_y", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
+def _side(edges: DataFrame, block: int) -> int:
+    """Blocks in a row of the grid; none without edges."""
+    most = id_bounds(edges).first()["max_id"]
+    return 0 if most is None else most // block + 1
+
+
 def densest_block(edges: DataFrame, block: int) -> DataFrame:
     """The block with most edges; of several the first in x, then y."""
     return block_counts(edges, block).orderBy(F.desc("cnt"), "blk_x", "blk_y").limit(1)
 
 
 def densest_column(edges: DataFrame, block: int) -> int:
-    """blk_y of the densest block."""
-    return densest_block(edges, block).first()["blk_y"]
+    """blk_y of the densest block; 0 without edges."""
+    most = densest_block(edges, block).first()
+    return most["blk_y"] if most else 0
 
 
 def column_split(edges: DataFrame, block: int, column: int | None = None) -> DataFrame:
     """Edges into one column of blocks, by default the densest block's."""
     y = densest_column(edges, block) if column is None else column
-    return edges.where((F.col("dst") >= y * block) & (F.col("dst") < (y + 1) * block))
+    return whole(edges).where((F.col("dst") >= y * block) & (F.col("dst") < (y + 1) * block))
 
 
 def residual_split(edges: DataFrame, block: int, column: int | None = None) -> DataFrame:
     """All other edges; with column_split they are all edges, each once."""
     y = densest_column(edges, block) if column is None else column
-    return edges.where((F.col("dst") < y * block) | (F.col("dst") >= (y + 1) * block))
+    return whole(edges).where((F.col("dst") < y * block) | (F.col("dst") >= (y + 1) * block))
 
 
 def partition_stats(edges: DataFrame, block: int) -> DataFrame:
     """One row: edges, vertices summed over blocks (their source ranges), replication (sum e + sum v) / (v + sum e)."""
-    last = id_bounds(edges).first()["max_id"]
-    side = last // block + 1
-    total = (last + 1) * side  # every block of a row of the grid counts that row's sources
-    return edges.agg(F.count(F.lit(1)).alias("edges")).select(
+    n, side = vertices(edges).count(), _side(edges, block)
+    total = n * side  # every block of a row of the grid counts that row's sources
+    return whole(edges).agg(F.count(F.lit(1)).alias("edges")).select(
         "edges",
         F.lit(total).cast("bigint").alias("block_vertices"),
-        ((F.col("edges") + total) / (F.lit(last + 1) + F.col("edges"))).alias("replication"),
+        F.try_divide(F.col("edges") + total, F.lit(n) + F.col("edges")).alias("replication"),
     )
 
 
 def edge_share(edges: DataFrame, block: int) -> DataFrame:
     """blk_x, blk_y, cnt and the block's share of all edges."""
-    total = edges.count()
+    total = whole(edges).count()
     return block_counts(edges, block).withColumn("share", F.col("cnt") / F.lit(max(total, 1)))
 
 
+def edge_share_ascending(edges: DataFrame, block: int) -> DataFrame:
+    """edge_share with pos: the blocks' places by share, the least first, then by x and y."""
+    return ranked(edge_share(edges, block), ["cnt", "blk_x", "blk_y"], out="pos")
+
+
 def _bins(edges: DataFrame, k: int, block: int | None) -> tuple[DataFrame, list[str]]:
-    rows = with_blocks(edges, block) if block else edges
+    rows = with_blocks(edges, block) if block else whole(edges)
     keys = ["blk_x", "blk_y", "src"] if block else ["src"]
     return rows.select(*keys, "dst", F.pmod("dst", F.lit(k)).alias("bin")), keys
 
@@ -148,7 +164,7 @@ def top_degree(edges: DataFrame, k: int) -> DataFrame:
 def hub_block_edges(edges: DataFrame, block: int) -> DataFrame:
     """One row, the most edges from the `block` vertices of highest degree into one block of sinks."""
     hubs = top_degree(edges, block).select(F.col("id").alias("src"))
-    into = edges.join(hubs, "src", "left_semi").groupBy(F.floor(F.col("dst") / block).alias("blk_y")).agg(F.count(F.lit(1)).alias("n"))
+    into = whole(edges).join(hubs, "src", "left_semi").groupBy(F.floor(F.col("dst") / block).alias("blk_y")).agg(F.count(F.lit(1)).alias("n"))
     return into.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))
 
 

@@ -6,11 +6,12 @@ size, large ones are shuffled on the key, and adaptive execution splits skewed p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions.scalar import radix_hash
+from orrery.plans import ranked
 
 SLOTS = 4
 
@@ -63,18 +64,20 @@ def radix_partition(r: DataFrame, bits: tuple[int, ...]) -> DataFrame:
     return r.withColumn("part", part)
 
 
-def pair_sizes(r: DataFrame, s: DataFrame, bits: int) -> DataFrame:
+def pair_sizes(r: DataFrame, s: DataFrame, bits: int, shift: int = 0) -> DataFrame:
     """Partitions in which both sides have rows, with the rows of each; the others need no join."""
-    a = radix_histogram(r, bits).withColumnRenamed("rows", "r_rows")
-    return a.join(radix_histogram(s, bits).withColumnRenamed("rows", "s_rows"), "part")
+    a = radix_histogram(r, bits, shift).withColumnRenamed("rows", "r_rows")
+    return a.join(radix_histogram(s, bits, shift).withColumnRenamed("rows", "s_rows"), "part")
 
 
 def hash_table(r: DataFrame, buckets: int) -> DataFrame:
-    """bucket, slot, key, payload: r as a table of buckets by key modulo `buckets`, slots in key order."""
+    """bucket, slot, key, payload: r as a table of buckets by key modulo `buckets`, slots in key order.
+
+    Slots are places in one order of all rows, so that a bucket of many rows is spread over tasks.
+    """
     bucket = F.pmod(F.col("key").cast("bigint"), F.lit(buckets).cast("bigint"))
     rows = r.where("key is not null").select(bucket.alias("bucket"), "key", "payload")
-    slot = F.row_number().over(W.partitionBy("bucket").orderBy("key", "payload")) - 1
-    return rows.select("bucket", slot.cast("bigint").alias("slot"), "key", "payload")
+    return ranked(rows, ["key", "payload"], ["bucket"], out="slot").select("bucket", "slot", "key", "payload")
 
 
 def hash_table_checks(table: DataFrame, buckets: int, slots: int = SLOTS) -> DataFrame:
@@ -93,15 +96,22 @@ def hash_table_checks(table: DataFrame, buckets: int, slots: int = SLOTS) -> Dat
 def skew_split_join(r: DataFrame, s: DataFrame, buckets: int, slots: int = SLOTS) -> DataFrame:
     """part (main, overflow), matches: r's rows from the slot `slots` of a bucket on are joined apart.
 
-    The two parts' matches add up to join_count. Runtime skew is left to adaptive execution; this is the
-    logical split.
+    The two parts' matches add up to join_count. Rows are counted by key first, and a key's place in its bucket is the
+    sum of the counts before it, so that a hot key is one row; runtime skew of the join is left to adaptive execution.
     """
-    table = hash_table(r, buckets)
-    part = F.when(F.col("slot") < slots, "main").otherwise("overflow")
-    cells = table.groupBy("key", part.alias("part")).agg(F.count(F.lit(1)).alias("nr"))
+    bucket = F.pmod(F.col("key").cast("bigint"), F.lit(buckets).cast("bigint"))
+    before = W.partitionBy(bucket).orderBy("key").rowsBetween(W.unboundedPreceding, -1)
+    main = F.greatest(F.least(F.lit(slots) - F.coalesce(F.sum("n").over(before), F.lit(0)), F.col("n")), F.lit(0))
+    parts = key_counts(r).select("key", main.alias("main"), (F.col("n") - main).alias("overflow"))
+    cells = parts.unpivot("key", ["main", "overflow"], "part", "nr").where("nr > 0")
     return cells.join(key_counts(s, "ns"), "key").groupBy("part").agg(F.sum(F.col("nr") * F.col("ns")).alias("matches"))
 
 
 def write_bucketed(r: DataFrame, table: str, buckets: int) -> None:
     """Store r bucketed and sorted by key: two tables of equal buckets join without a shuffle."""
     r.write.bucketBy(buckets, "key").sortBy("key").mode("overwrite").saveAsTable(table)
+
+
+def join_count_bucketed(spark: SparkSession, r: str, s: str) -> DataFrame:
+    """join_count of two tables that `write_bucketed` stored with equal buckets: no side is shuffled."""
+    return join_count(spark.table(r), spark.table(s))

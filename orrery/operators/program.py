@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.plans import iterate, partitioned
+from orrery.plans import iterate, salted, sent
 
 
 @dataclass(frozen=True)
@@ -26,12 +26,12 @@ class VertexProgram:
     def run(self, edges: DataFrame, initial: DataFrame, rounds: int | None = None) -> DataFrame:
         """(id, value) once nothing changes, or after `rounds`; initial has id, value and active."""
         weighted = edges.select("src", "dst", "weight" if "weight" in edges.columns else F.lit(1).cast("bigint").alias("weight"))
-        kept = partitioned(weighted, "src")
+        kept, hubs = salted(weighted)
 
         def step(state: DataFrame, _: int) -> DataFrame:
             senders = state.where("active").select(F.col("id").alias("src"), "value")
-            sent = kept.join(senders, "src").select(F.col("dst").alias("id"), self.message(F.col("value"), F.col("weight")).alias("sent"))
-            merged = sent.groupBy("id").agg(self.merge(F.col("sent")).alias("merged"))
+            came = kept.join(sent(senders, hubs), ["src", "salt"]).select(F.col("dst").alias("id"), self.message(F.col("value"), F.col("weight")).alias("came"))
+            merged = came.groupBy("id").agg(self.merge(F.col("came")).alias("merged"))
             new = state.join(merged, "id", "left").select("id", "value", self.update(F.col("value"), F.col("merged")).alias("new"))
             return new.select("id", F.col("new").alias("value"), self.changed(F.col("value"), F.col("new")).alias("active"))
 

@@ -1,11 +1,12 @@
 """Every registered query of the join and graph operators, with DuckDB SQL for the same rows.
 
 Relations: r has a row for each order (key o_orderkey), s one for each line item. Graphs are derived from line
-items: all consecutive parts of an order, the acyclic half of them, and the edges inside classes modulo 16.
+items: all consecutive parts of an order. Every query runs over all of its tables.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from orrery.sources import relations
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-BLOCK, BANKS, BUCKETS, BITS = 256, 32, 4096, 4
+BLOCK, BANKS, BUCKETS = 256, 32, 4096
 FIXED_BITS, FIXED_ROUNDS, RANK_ROUNDS = 23, 10, 19
 
 QUERIES: dict[str, Query] = {}
@@ -55,24 +56,14 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(edge_sources.edges_from_lineitem(_read(spark, sf_dir, "lineitem")))
 
 
-def _dag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir).where("src < dst")
-
-
-def _mod16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir).where("src % 16 = dst % 16")
-
-
 _RS = "r AS (SELECT o_orderkey AS key, o_custkey AS payload FROM orders), s AS (SELECT l_orderkey AS key, l_partkey AS payload FROM lineitem)"
 _J = f"WITH {_RS}, j AS (SELECT s.key, s.payload AS s_payload, r.payload AS r_payload FROM s JOIN r USING (key))"
-_G = """WITH RECURSIVE nxt AS (
+_ALL = """WITH RECURSIVE nxt AS (
   SELECT l_partkey AS src, CAST(l_quantity AS BIGINT) AS q,
          lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst
   FROM lineitem
-), g_all AS (SELECT src, dst, count(*) AS mult, min(q) AS weight FROM nxt WHERE dst IS NOT NULL GROUP BY src, dst),
-g AS (SELECT * FROM g_all WHERE {where}),
+), g AS (SELECT src, dst, count(*) AS mult, min(q) AS weight FROM nxt WHERE dst IS NOT NULL GROUP BY src, dst),
 v AS (SELECT CAST(range AS BIGINT) AS id FROM range((SELECT greatest(max(src), max(dst)) + 1 FROM g)))"""
-_ALL, _DAG, _MOD = _G.format(where="true"), _G.format(where="src < dst"), _G.format(where="src % 16 = dst % 16")
 
 # --- joins ------------------------------------------------------------------------------------------
 
@@ -120,10 +111,24 @@ def radix_partition_2pass(spark, sf_dir):
 
 @_query(
     "partition_pairs_nonempty",
-    f"WITH {_RS}, a AS (SELECT key & 15 AS part, count(*) AS r_rows FROM r WHERE payload % 16 < 8 GROUP BY 1), b AS (SELECT key & 15 AS part, count(*) AS s_rows FROM s GROUP BY 1) SELECT part, r_rows, s_rows FROM a JOIN b USING (part)",
+    f"WITH {_RS}, a AS (SELECT (key & 16256) >> 7 AS part, count(*) AS r_rows FROM r GROUP BY 1), b AS (SELECT (key & 16256) >> 7 AS part, count(*) AS s_rows FROM s GROUP BY 1) SELECT part, r_rows, s_rows FROM a JOIN b USING (part)",
 )
 def partition_pairs_nonempty(spark, sf_dir):
-    return joins.pair_sizes(_r(spark, sf_dir).where("payload % 16 < 8"), _s(spark, sf_dir), BITS)
+    """128 partitions by higher bits of the key, of which keys up to 14,999 leave the last ones empty."""
+    return joins.pair_sizes(_r(spark, sf_dir), _s(spark, sf_dir), 7, 7)
+
+
+@_query("join_count_bucketed", f"{_J} SELECT count(*) AS matches FROM j")
+def join_count_bucketed(spark, sf_dir):
+    """Both sides stored in equal buckets and joined where they lie."""
+    names = [f"orrery_{side}_{uuid.uuid4().hex}" for side in "rs"]
+    try:
+        for name, rows in zip(names, (_r(spark, sf_dir), _s(spark, sf_dir)), strict=True):
+            joins.write_bucketed(rows, name, 16)
+        return materialize(joins.join_count_bucketed(spark, *names))
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 @_query(
@@ -248,6 +253,31 @@ def edge_list_text(spark, sf_dir):
     return edge_sources.edge_list_text(spark, path)
 
 
+@_query("edge_list_matrix_market", f"{_ALL} SELECT src, dst, weight FROM g")
+def edge_list_matrix_market(spark, sf_dir):
+    """The derived edges as a Matrix Market file, its comment and its line of sizes first, and back."""
+    edges, path = _edges(spark, sf_dir), fresh_path(spark, "mtx")
+    most = graph.id_bounds(edges).first()["max_id"] + 1
+    head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate integer general"), (1, f"{most} {most} {edges.count()}")], "n int, value string")
+    rows = head.unionByName(edges.select(F.lit(2).alias("n"), F.concat_ws(" ", "src", "dst", "weight").alias("value")))
+    rows.coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    return edge_sources.edge_list_text(spark, path, matrix_market=True)
+
+
+@_query("named_graph", f"{_ALL} SELECT src, dst, weight FROM g UNION ALL SELECT dst, src, weight FROM g WHERE src <> dst")
+def named_graph(spark, sf_dir):
+    """The derived edges stored below a base folder and loaded by the graph's name, both ways."""
+    base = fresh_path(spark, "graphs")
+    _edges(spark, sf_dir).select(F.concat_ws(" ", "src", "dst", "weight").alias("value")).write.text(f"{base}/parts.txt")
+    registry = edge_sources.GraphRegistry({"sim": base}, {"parts": edge_sources.NamedGraph("parts.txt", directed=False, start=0)})
+    return registry.load(spark, "parts", "sim")
+
+
+@_query("hashed_weights", f"{_ALL} SELECT src, dst, ((((((src & 2147483647) * 31 + (dst & 2147483647)) & 2147483647) * 2654435761) & 4294967295) >> 16) % 10 AS weight FROM g")
+def hashed_weights(spark, sf_dir):
+    return edge_sources.hashed_weights(_edges(spark, sf_dir).select("src", "dst"))
+
+
 @_query("undirected_expand", f"{_ALL} SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g WHERE src <> dst")
 def undirected_expand(spark, sf_dir):
     return edge_sources.undirected(_edges(spark, sf_dir).select("src", "dst"))
@@ -261,30 +291,30 @@ def id_bounds(spark, sf_dir):
 _DEG = "od AS (SELECT src AS id, count(*) AS n FROM g GROUP BY 1), ind AS (SELECT dst AS id, count(*) AS n FROM g GROUP BY 1), dg AS (SELECT v.id, coalesce(od.n, 0) AS out_deg, coalesce(ind.n, 0) AS in_deg FROM v LEFT JOIN od USING (id) LEFT JOIN ind USING (id))"
 
 
-@_query("vertex_degrees", f"{_DAG}, {_DEG} SELECT * FROM dg")
+@_query("vertex_degrees", f"{_ALL}, {_DEG} SELECT * FROM dg")
 def vertex_degrees(spark, sf_dir):
-    return graph.degrees(_dag(spark, sf_dir))
+    return graph.degrees(_edges(spark, sf_dir))
 
 
-@_query("csr_offsets", f"{_DAG}, {_DEG} SELECT id, out_deg AS deg, CAST(sum(out_deg) OVER (ORDER BY id) - out_deg AS BIGINT) AS row_ptr FROM dg")
+@_query("csr_offsets", f"{_ALL}, {_DEG} SELECT id, out_deg AS deg, CAST(sum(out_deg) OVER (ORDER BY id) - out_deg AS BIGINT) AS row_ptr FROM dg")
 def csr_offsets(spark, sf_dir):
-    return graph.csr_offsets(_dag(spark, sf_dir))
+    return graph.csr_offsets(_edges(spark, sf_dir))
 
 
-@_query("csr_edges", f"{_DAG} SELECT row_number() OVER (ORDER BY src, dst) - 1 AS pos, src, dst FROM g")
+@_query("csr_edges", f"{_ALL} SELECT row_number() OVER (ORDER BY src, dst) - 1 AS pos, src, dst FROM g")
 def csr_edges(spark, sf_dir):
-    return graph.csr_edges(_dag(spark, sf_dir))
+    return graph.csr_edges(_edges(spark, sf_dir))
 
 
-@_query("adjacency_sorted", f"{_DAG} SELECT src AS id, array_to_string(list(dst ORDER BY dst), ',') AS neighbours FROM g GROUP BY src")
+@_query("adjacency_sorted", f"{_ALL} SELECT src AS id, array_to_string(list(dst ORDER BY dst), ',') AS neighbours FROM g GROUP BY src")
 def adjacency_sorted(spark, sf_dir):
-    lists = graph.adjacency(_dag(spark, sf_dir))
+    lists = graph.adjacency(_edges(spark, sf_dir))
     return lists.select("id", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
 
 
-@_query("adjacency_incoming", f"{_DAG} SELECT dst AS id, array_to_string(list(src ORDER BY src), ',') AS neighbours FROM g GROUP BY dst")
+@_query("adjacency_incoming", f"{_ALL} SELECT dst AS id, array_to_string(list(src ORDER BY src), ',') AS neighbours FROM g GROUP BY dst")
 def adjacency_incoming(spark, sf_dir):
-    lists = graph.adjacency(_dag(spark, sf_dir), "dst", "src")
+    lists = graph.adjacency(_edges(spark, sf_dir), "dst", "src")
     return lists.select("id", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
 
 
@@ -293,84 +323,89 @@ _SIDE = f"(SELECT max(id) // {BLOCK} + 1 FROM v)"
 _DENSE = "(SELECT blk_y FROM b ORDER BY cnt DESC, blk_x, blk_y LIMIT 1)"
 
 
-@_query("grid_blocks", f"{_DAG}, {_BLK} SELECT x.range AS blk_x, y.range AS blk_y, coalesce(cnt, 0) AS cnt FROM range({_SIDE}) x, range({_SIDE}) y LEFT JOIN b ON blk_x = x.range AND blk_y = y.range")
+@_query("grid_blocks", f"{_ALL}, {_BLK} SELECT x.range AS blk_x, y.range AS blk_y, coalesce(cnt, 0) AS cnt FROM range({_SIDE}) x, range({_SIDE}) y LEFT JOIN b ON blk_x = x.range AND blk_y = y.range")
 def grid_blocks(spark, sf_dir):
-    return graph.grid_blocks(_dag(spark, sf_dir), BLOCK)
+    return graph.grid_blocks(_edges(spark, sf_dir), BLOCK)
 
 
-@_query("densest_block", f"{_DAG}, {_BLK} SELECT * FROM b ORDER BY cnt DESC, blk_x, blk_y LIMIT 1")
+@_query("densest_block", f"{_ALL}, {_BLK} SELECT * FROM b ORDER BY cnt DESC, blk_x, blk_y LIMIT 1")
 def densest_block(spark, sf_dir):
-    return graph.densest_block(_dag(spark, sf_dir), BLOCK)
+    return graph.densest_block(_edges(spark, sf_dir), BLOCK)
 
 
-@_query("column_split", f"{_DAG}, {_BLK} SELECT g.* FROM g WHERE dst // {BLOCK} = {_DENSE}")
+@_query("column_split", f"{_ALL}, {_BLK} SELECT g.* FROM g WHERE dst // {BLOCK} = {_DENSE}")
 def column_split(spark, sf_dir):
-    return graph.column_split(_dag(spark, sf_dir), BLOCK)
+    return graph.column_split(_edges(spark, sf_dir), BLOCK)
 
 
-@_query("residual_split", f"{_DAG}, {_BLK} SELECT g.* FROM g WHERE dst // {BLOCK} <> {_DENSE}")
+@_query("residual_split", f"{_ALL}, {_BLK} SELECT g.* FROM g WHERE dst // {BLOCK} <> {_DENSE}")
 def residual_split(spark, sf_dir):
-    return graph.residual_split(_dag(spark, sf_dir), BLOCK)
+    return graph.residual_split(_edges(spark, sf_dir), BLOCK)
 
 
 @_query(
     "partition_stats",
-    f"{_DAG}, t AS (SELECT (SELECT count(*) FROM g) AS e, (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM v) * {_SIDE} AS bv) SELECT e AS edges, bv AS block_vertices, (e + bv) / (n + e) AS replication FROM t",
+    f"{_ALL}, t AS (SELECT (SELECT count(*) FROM g) AS e, (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM v) * {_SIDE} AS bv) SELECT e AS edges, bv AS block_vertices, (e + bv) / (n + e) AS replication FROM t",
 )
 def partition_stats(spark, sf_dir):
-    return graph.partition_stats(_dag(spark, sf_dir), BLOCK)
+    return graph.partition_stats(_edges(spark, sf_dir), BLOCK)
 
 
-@_query("edge_share", f"{_DAG}, {_BLK} SELECT *, cnt / (SELECT count(*) FROM g) AS share FROM b")
+@_query("edge_share", f"{_ALL}, {_BLK} SELECT *, cnt / (SELECT count(*) FROM g) AS share FROM b")
 def edge_share(spark, sf_dir):
-    return graph.edge_share(_dag(spark, sf_dir), BLOCK)
+    return graph.edge_share(_edges(spark, sf_dir), BLOCK)
+
+
+@_query("edge_share_ascending", f"{_ALL}, {_BLK} SELECT *, cnt / (SELECT count(*) FROM g) AS share, row_number() OVER (ORDER BY cnt, blk_x, blk_y) - 1 AS pos FROM b")
+def edge_share_ascending(spark, sf_dir):
+    return graph.edge_share_ascending(_edges(spark, sf_dir), BLOCK)
 
 
 _PAD = f"bins AS (SELECT src // {BLOCK} AS blk_x, dst // {BLOCK} AS blk_y, src, dst % {BANKS} AS bin, count(*) AS n FROM g GROUP BY ALL), pad AS (SELECT blk_x, blk_y, src, CAST(sum(n) AS BIGINT) AS edges, max(n) * {BANKS} AS padded FROM bins GROUP BY ALL)"
 
 
-@_query("padding_size", f"{_DAG}, {_PAD} SELECT * FROM pad")
+@_query("padding_size", f"{_ALL}, {_PAD} SELECT * FROM pad")
 def padding_size(spark, sf_dir):
-    return graph.padding_sizes(_dag(spark, sf_dir), BANKS, BLOCK)
+    return graph.padding_sizes(_edges(spark, sf_dir), BANKS, BLOCK)
 
 
 @_query(
     "padding_layout",
-    f"{_MOD}, f AS (SELECT src, dst % 4 AS bin, dst, row_number() OVER (PARTITION BY src, dst % 4 ORDER BY dst) - 1 AS slot FROM g), d AS (SELECT src, max(slot) AS deep FROM f GROUP BY src), c AS (SELECT src, slot, unnest(range(4)) AS bin FROM (SELECT src, unnest(range(deep + 1)) AS slot FROM d)) SELECT c.src, c.slot, c.bin, coalesce(dst, -1) AS dst FROM c LEFT JOIN f USING (src, slot, bin)",
+    f"{_ALL}, f AS (SELECT src, dst % 4 AS bin, dst, row_number() OVER (PARTITION BY src, dst % 4 ORDER BY dst) - 1 AS slot FROM g), d AS (SELECT src, max(slot) AS deep FROM f GROUP BY src), c AS (SELECT src, slot, unnest(range(4)) AS bin FROM (SELECT src, unnest(range(deep + 1)) AS slot FROM d)) SELECT c.src, c.slot, c.bin, coalesce(dst, -1) AS dst FROM c LEFT JOIN f USING (src, slot, bin)",
 )
 def padding_layout(spark, sf_dir):
-    return graph.padding_layout(_mod16(spark, sf_dir), 4)
+    return graph.padding_layout(_edges(spark, sf_dir), 4)
 
 
-@_query("padding_stripped", f"{_MOD} SELECT src, dst FROM g")
+@_query("padding_stripped", f"{_ALL} SELECT src, dst FROM g")
 def padding_stripped(spark, sf_dir):
     """The padded lists without their sentinels are the edges again."""
-    return graph.padding_layout(_mod16(spark, sf_dir), 4).where("dst <> -1").select("src", "dst")
+    return graph.padding_layout(_edges(spark, sf_dir), 4).where("dst <> -1").select("src", "dst")
 
 
-@_query("replication_factor", f"{_DAG}, {_PAD} SELECT CAST(sum(edges) AS BIGINT) AS edges, CAST(sum(padded) AS BIGINT) AS padded, sum(padded) / sum(edges) AS factor FROM pad")
+@_query("replication_factor", f"{_ALL}, {_PAD} SELECT CAST(sum(edges) AS BIGINT) AS edges, CAST(sum(padded) AS BIGINT) AS padded, sum(padded) / sum(edges) AS factor FROM pad")
 def replication_factor(spark, sf_dir):
-    return graph.replication_factor(_dag(spark, sf_dir), BANKS, BLOCK)
+    return graph.replication_factor(_edges(spark, sf_dir), BANKS, BLOCK)
 
 
-@_query("degree_order", f"{_DAG}, {_DEG} SELECT row_number() OVER (ORDER BY out_deg DESC, id) - 1 AS pos, id, out_deg FROM dg")
+@_query("degree_order", f"{_ALL}, {_DEG} SELECT row_number() OVER (ORDER BY out_deg DESC, id) - 1 AS pos, id, out_deg FROM dg")
 def degree_order(spark, sf_dir):
-    return graph.degree_order(_dag(spark, sf_dir))
+    return graph.degree_order(_edges(spark, sf_dir))
 
 
-@_query("degree_order_topk", f"{_DAG}, {_DEG} SELECT id, out_deg FROM dg ORDER BY out_deg DESC, id LIMIT 100")
+@_query("degree_order_topk", f"{_ALL}, {_DEG} SELECT id, out_deg FROM dg ORDER BY out_deg DESC, id LIMIT 100")
 def degree_order_topk(spark, sf_dir):
-    return graph.top_degree(_dag(spark, sf_dir), 100)
+    return graph.top_degree(_edges(spark, sf_dir), 100)
 
 
-@_query("hub_block_edges", f"{_DAG}, {_DEG}, h AS (SELECT id FROM dg ORDER BY out_deg DESC, id LIMIT {BLOCK}), i AS (SELECT dst // {BLOCK} AS y, count(*) AS n FROM g WHERE src IN (SELECT id FROM h) GROUP BY 1) SELECT max(n) AS most FROM i")
+@_query("hub_block_edges", f"{_ALL}, {_DEG}, h AS (SELECT id FROM dg ORDER BY out_deg DESC, id LIMIT {BLOCK}), i AS (SELECT dst // {BLOCK} AS y, count(*) AS n FROM g WHERE src IN (SELECT id FROM h) GROUP BY 1) SELECT max(n) AS most FROM i")
 def hub_block_edges(spark, sf_dir):
-    return graph.hub_block_edges(_dag(spark, sf_dir), BLOCK)
+    return graph.hub_block_edges(_edges(spark, sf_dir), BLOCK)
 
 
-@_query("block_align", f"{_DAG}, {_BLK} SELECT blk_x, blk_y, cnt, ((cnt - 1) // 16 + 1) * 16 AS aligned FROM b")
+@_query("block_align", f"{_ALL}, {_BLK} SELECT blk_x, blk_y, cnt, ((cnt - 1) // 16 + 1) * 16 AS aligned FROM b")
 def block_align(spark, sf_dir):
-    return graph.block_counts(_dag(spark, sf_dir), BLOCK).withColumn("aligned", scalar.align(F.col("cnt"), 32, 512))
+    return graph.block_counts(_edges(spark, sf_dir), BLOCK).withColumn("aligned", scalar.align(F.col("cnt"), 32, 512))
 
 
 # --- searches ---------------------------------------------------------------------------------------
@@ -381,7 +416,7 @@ def _bfs_sql(base: str, source: str, depth: int) -> str:
 
 
 _BFS_ALL = _bfs_sql(_ALL, "0", 9)
-_BFS_MOD = _bfs_sql(_MOD, "(SELECT min(src) FROM g)", 60)
+_BFS_MIN = _bfs_sql(_ALL, "(SELECT min(src) FROM g)", 9)
 
 
 def _source(edges: DataFrame) -> int:
@@ -393,9 +428,9 @@ def bfs_push(spark, sf_dir):
     return algorithms.bfs(_edges(spark, sf_dir), 0)
 
 
-@_query("bfs_push_sparse", f"{_BFS_MOD} SELECT id, coalesce(depth, 2147483646) AS depth FROM bfs")
+@_query("bfs_push_sparse", f"{_BFS_MIN} SELECT id, coalesce(depth, 2147483646) AS depth FROM bfs")
 def bfs_push_sparse(spark, sf_dir):
-    edges = _mod16(spark, sf_dir)
+    edges = _edges(spark, sf_dir)
     return algorithms.bfs(edges, _source(edges), unreached=2147483646)
 
 
@@ -417,9 +452,9 @@ def bfs_step(spark, sf_dir):
     return algorithms.bfs_step(edges, second, 1)
 
 
-@_query("bfs_levels", f"{_BFS_MOD} SELECT depth, count(*) AS size FROM bfs WHERE depth IS NOT NULL GROUP BY depth")
+@_query("bfs_levels", f"{_BFS_MIN} SELECT depth, count(*) AS size FROM bfs WHERE depth IS NOT NULL GROUP BY depth")
 def bfs_levels(spark, sf_dir):
-    edges = _mod16(spark, sf_dir)
+    edges = _edges(spark, sf_dir)
     return algorithms.level_sizes(algorithms.bfs(edges, _source(edges)))
 
 
@@ -447,26 +482,26 @@ def _cc_sql(base: str, rounds: int, end: str) -> str:
     return f"{sql}, cc AS (SELECT id, c AS component FROM x{rounds}) {end}"
 
 
-@_query("cc_labels", _cc_sql(_MOD, 24, "SELECT * FROM cc"))
+@_query("cc_labels", _cc_sql(_ALL, 24, "SELECT * FROM cc"))
 def cc_labels(spark, sf_dir):
-    return algorithms.connected_components(_mod16(spark, sf_dir))
+    return algorithms.connected_components(_edges(spark, sf_dir))
 
 
-@_query("cc_sizes", _cc_sql(_MOD, 24, "SELECT component, count(*) AS size FROM cc GROUP BY 1"))
+@_query("cc_sizes", _cc_sql(_ALL, 24, "SELECT component, count(*) AS size FROM cc GROUP BY 1"))
 def cc_sizes(spark, sf_dir):
-    return algorithms.component_sizes(algorithms.connected_components(_mod16(spark, sf_dir)))
+    return algorithms.component_sizes(algorithms.connected_components(_edges(spark, sf_dir)))
 
 
-@_query("cc_count", _cc_sql(_MOD, 24, "SELECT count(DISTINCT component) AS components FROM cc"))
+@_query("cc_count", _cc_sql(_ALL, 24, "SELECT count(DISTINCT component) AS components FROM cc"))
 def cc_count(spark, sf_dir):
-    sizes = algorithms.component_sizes(algorithms.connected_components(_mod16(spark, sf_dir)))
+    sizes = algorithms.component_sizes(algorithms.connected_components(_edges(spark, sf_dir)))
     return sizes.agg(F.count(F.lit(1)).alias("components"))
 
 
-@_query("vertex_program_labels", _cc_sql(_MOD, 24, "SELECT id, component AS value FROM cc"))
+@_query("vertex_program_labels", _cc_sql(_ALL, 24, "SELECT id, component AS value FROM cc"))
 def vertex_program_labels(spark, sf_dir):
     """Components again, by a program of column expressions over undirected edges."""
-    edges = _mod16(spark, sf_dir)
+    edges = _edges(spark, sf_dir)
     first = graph.vertices(edges).select("id", F.col("id").alias("value"), F.lit(True).alias("active"))
     return smallest_label().run(edge_sources.undirected(edges.select("src", "dst")), first)
 
@@ -481,36 +516,64 @@ def _rank_sql(base: str, rounds: int, end: str, errors: bool = False) -> str:
     return f"{sql} {end}"
 
 
-@_query("pagerank", _rank_sql(_DAG, RANK_ROUNDS, f"SELECT id, round(r, 9) AS rank FROM x{RANK_ROUNDS}"))
+@_query("pagerank", _rank_sql(_ALL, RANK_ROUNDS, f"SELECT id, round(r, 9) AS rank FROM x{RANK_ROUNDS}"))
 def pagerank(spark, sf_dir):
-    return algorithms.pagerank(_dag(spark, sf_dir), RANK_ROUNDS, None).select("id", F.round("rank", 9).alias("rank"))
+    return algorithms.pagerank(_edges(spark, sf_dir), RANK_ROUNDS, None).select("id", F.round("rank", 9).alias("rank"))
+
+
+TOLERANCE = 0.001
+
 
+def _converged_sql(rounds: int) -> str:
+    errors = " UNION ALL ".join(f"SELECT {k} AS k, (SELECT sum(abs(a.r - b.r)) FROM x{k} a JOIN x{k - 1} b USING (id)) AS e" for k in range(1, rounds + 1))
+    states = " UNION ALL ".join(f"SELECT {k} AS k, id, r FROM x{k}" for k in range(1, rounds + 1))
+    return _rank_sql(_ALL, rounds, f", er AS ({errors}), st AS ({states}) SELECT id, round(r, 9) AS rank FROM st WHERE k = (SELECT coalesce(min(k), {rounds}) FROM er WHERE e < {TOLERANCE}::DOUBLE)")
 
-@_query("pagerank_blocked", _rank_sql(_DAG, RANK_ROUNDS, f"SELECT id, round(r, 9) AS rank FROM x{RANK_ROUNDS}"))
+
+@_query("pagerank_converged", _converged_sql(RANK_ROUNDS))
+def pagerank_converged(spark, sf_dir):
+    """Stops once the ranks change by less than TOLERANCE in sum, before the last round."""
+    return algorithms.pagerank(_edges(spark, sf_dir), RANK_ROUNDS, TOLERANCE).select("id", F.round("rank", 9).alias("rank"))
+
+
+@_query("pagerank_blocked", _rank_sql(_ALL, RANK_ROUNDS, f"SELECT id, round(r, 9) AS rank FROM x{RANK_ROUNDS}"))
 def pagerank_blocked(spark, sf_dir):
-    return algorithms.pagerank_blocked(_dag(spark, sf_dir), BLOCK, RANK_ROUNDS, None).select("id", F.round("rank", 9).alias("rank"))
+    return algorithms.pagerank_blocked(_edges(spark, sf_dir), BLOCK, RANK_ROUNDS, None).select("id", F.round("rank", 9).alias("rank"))
 
 
 _ERRORS = " UNION ALL ".join(f"SELECT {k} AS round, round((SELECT sum(abs(a.r - b.r)) FROM x{k} a JOIN x{k - 1} b USING (id)), 9) AS error" for k in range(1, 6))
 
 
-@_query("pagerank_error_trace", _rank_sql(_DAG, 5, f"SELECT CAST(round AS BIGINT) AS round, error FROM ({_ERRORS})"))
+@_query("pagerank_error_trace", _rank_sql(_ALL, 5, f"SELECT CAST(round AS BIGINT) AS round, error FROM ({_ERRORS})"))
 def pagerank_error_trace(spark, sf_dir):
-    return algorithms.pagerank_errors(_dag(spark, sf_dir), 5).select("round", F.round("error", 9).alias("error"))
+    return algorithms.pagerank_errors(_edges(spark, sf_dir), 5).select("round", F.round("error", 9).alias("error"))
 
 
-def _fixed_sql(base: str, rounds: int) -> str:
-    one = f"CAST(trunc(1.0::DOUBLE / (SELECT n FROM c) * {1 << FIXED_BITS}) AS BIGINT)"
-    low = f"CAST(trunc((1 - 0.85::DOUBLE) / (SELECT n FROM c) * {1 << FIXED_BITS}) AS BIGINT)"
+def _fixed_sql(base: str, rounds: int, bits: int, damped: str) -> str:
+    one = f"CAST(trunc(1.0::DOUBLE / (SELECT n FROM c) * {1 << bits}) AS BIGINT)"
+    low = f"CAST(trunc((1 - 0.85::DOUBLE) / (SELECT n FROM c) * {1 << bits}) AS BIGINT)"
     sql = f"{base}, dg AS MATERIALIZED (SELECT src AS id, count(*) AS n FROM g GROUP BY 1), c AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM v), x0 AS MATERIALIZED (SELECT id, {one} AS r FROM v)"
     for k in range(1, rounds + 1):
-        sql += f", x{k} AS MATERIALIZED (SELECT p.id, {low} + ((108 * coalesce(m.s, 0)) >> 7) AS r FROM x{k - 1} p LEFT JOIN (SELECT g.dst AS id, CAST(sum(q.r // dg.n) AS BIGINT) AS s FROM x{k - 1} q JOIN g ON g.src = q.id JOIN dg ON dg.id = q.id GROUP BY 1) m USING (id))"
+        sql += f", x{k} AS MATERIALIZED (SELECT p.id, {low} + {damped} AS r FROM x{k - 1} p LEFT JOIN (SELECT g.dst AS id, CAST(sum(q.r // dg.n) AS BIGINT) AS s FROM x{k - 1} q JOIN g ON g.src = q.id JOIN dg ON dg.id = q.id GROUP BY 1) m USING (id))"
     return f"{sql} SELECT id, r AS score FROM x{rounds}"
 
 
-@_query("pagerank_fixed", _fixed_sql(_DAG, FIXED_ROUNDS))
+_SHIFTED, _TRUNCATED = "((108 * coalesce(m.s, 0)) >> 7)", "CAST(trunc(0.85::DOUBLE * coalesce(m.s, 0)) AS BIGINT)"
+
+
+@_query("pagerank_fixed", _fixed_sql(_ALL, FIXED_ROUNDS, FIXED_BITS, _SHIFTED))
 def pagerank_fixed(spark, sf_dir):
-    return algorithms.pagerank_fixed(_dag(spark, sf_dir), FIXED_ROUNDS, FIXED_BITS)
+    return algorithms.pagerank_fixed(_edges(spark, sf_dir), FIXED_ROUNDS, FIXED_BITS)
+
+
+@_query("pagerank_fixed_28", _fixed_sql(_ALL, 3, 28, _SHIFTED))
+def pagerank_fixed_28(spark, sf_dir):
+    return algorithms.pagerank_fixed(_edges(spark, sf_dir), 3, 28)
+
+
+@_query("pagerank_fixed_truncated", _fixed_sql(_ALL, 3, FIXED_BITS, _TRUNCATED))
+def pagerank_fixed_truncated(spark, sf_dir):
+    return algorithms.pagerank_fixed(_edges(spark, sf_dir), 3, FIXED_BITS, shifts=False)
 
 
 # --- memory benchmarks ------------------------------------------------------------------------------
@@ -522,6 +585,12 @@ def scatter_add(spark, sf_dir):
     return algorithms.scatter_add(active, 4096)
 
 
+@_query("scatter_add_generated", "WITH a AS (SELECT ((((range & 2147483647) * 2654435761) & 4294967295) >> 8) % 1024 AS v, count(*) AS n FROM range(4096) GROUP BY 1) SELECT range AS v, range + 101 * range * coalesce(n, 0) AS total FROM range(1024) LEFT JOIN a ON v = range")
+def scatter_add_generated(spark, sf_dir):
+    """The benchmark's own input: pseudo-random active vertices."""
+    return algorithms.scatter_add(relations.active_vertices(spark, 1024, 4), 1024)
+
+
 @_query("strided_sum", "SELECT CAST(sum(o_custkey) AS BIGINT) AS total FROM (SELECT (5 + range * 128) & 1023 AS addr FROM range(100000)) JOIN orders ON o_orderkey = addr")
 def strided_sum(spark, sf_dir):
     values = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("addr"), F.col("o_custkey").alias("value"))

@@ -9,23 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.plans import materialize
+
 
 def edge_list_text(spark: SparkSession, path: str, matrix_market: bool = False) -> DataFrame:
     """src, dst and weight (third column, null if there is none) of a file of white-space-separated integers.
 
     Blank lines, lines that begin with # or %, and lines without two integers are skipped; with
-    `matrix_market` the line of sizes, the first that is no comment, is skipped too. The file is read in
-    splits, so its first data line is found by its place in it, not by order of rows.
+    `matrix_market` the line of sizes, the first of each file that is no comment, is skipped too. Files are read in
+    splits, so a file's first line is found by its split's offset and its place there, not by its text.
     """
-    lines = spark.read.text(path).select(F.trim(F.translate("value", "\t\r", "  ")).alias("line"))
+    kept = [F.trim(F.translate("value", "\t\r", "  ")).alias("line")]
+    where = ["_metadata.file_path AS file", "_metadata.file_block_start AS begin", "monotonically_increasing_id() AS at"] if matrix_market else []
+    lines = spark.read.text(path).select(*kept, *map(F.expr, where))
+    lines = lines.where((F.col("line") != "") & ~F.col("line").startswith("#") & ~F.col("line").startswith("%"))
     if matrix_market:
-        first = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != "")).limit(1).first()
-        sizes = " ".join(first["value"].split()) if first else ""
-        lines = lines.where(F.regexp_replace("line", r"\s+", " ") != sizes)
+        # places are stored, so that both readings of them agree; a row a file has its first line
+        lines = materialize(lines)
+        first = lines.groupBy("file").agg(F.min(F.struct("begin", "at")).alias("first")).select("file", "first.begin", "first.at")
+        lines = lines.join(first, ["file", "begin", "at"], "left_anti")
     part = F.split("line", r"\s+")
     return (
-        lines.where((F.col("line") != "") & ~F.col("line").startswith("#") & ~F.col("line").startswith("%"))
-        .select(*[F.get(part, F.lit(i)).try_cast("bigint").alias(c) for i, c in enumerate(("src", "dst", "weight"))])
+        lines.select(*[F.get(part, F.lit(i)).try_cast("bigint").alias(c) for i, c in enumerate(("src", "dst", "weight"))])
         .where(F.col("src").isNotNull() & F.col("dst").isNotNull())
     )
 
@@ -38,8 +43,9 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def hashed_weights(edges: DataFrame, below: int = 10, out: str = "weight") -> DataFrame:
-    """A weight 0 .. below - 1 for each edge, the same in every run."""
-    return edges.withColumn(out, F.pmod(F.xxhash64("src", "dst"), F.lit(below)))
+    """A weight 0 .. below - 1 for each edge, the same in every run: a multiplicative hash of the ends' low bits."""
+    x = (F.col("src").bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(31) + F.col("dst").bitwiseAND(F.lit(0x7FFFFFFF))).bitwiseAND(F.lit(0x7FFFFFFF))
+    return edges.withColumn(out, F.shiftright((x * F.lit(2654435761)).bitwiseAND(F.lit(0xFFFFFFFF)), 16) % below)
 
 
 @dataclass(frozen=True)

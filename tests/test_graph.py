@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from orrery.operators import algorithms, graph
 from orrery.operators.components import components
 from orrery.operators.program import smallest_label
-from orrery.plans import materialize, ranked, release, running_sum, sweep
+from orrery.plans import materialize, ranked, release, running_sum, salted, sweep
 from orrery.sources.edges import undirected
 
 EDGES = [(0, 1, 4), (0, 2, 1), (2, 1, 2), (1, 3, 1), (3, 0, 7), (2, 4, 5), (4, 4, 1), (5, 6, 3)]
@@ -142,3 +142,52 @@ def test_tables_are_released_and_swept(spark, tmp_path):
     assert other.count() == 2
     assert sweep(spark) >= 1
     assert sweep(spark) == 0
+
+
+def test_empty_graphs(spark):
+    none = spark.createDataFrame([], "src bigint, dst bigint, weight bigint")
+    for f in (graph.grid_blocks, graph.column_split, graph.residual_split, graph.edge_share, graph.edge_share_ascending, graph.densest_block):
+        assert f(none, 2).collect() == []
+    stats = graph.partition_stats(none, 2).first()
+    assert (stats["edges"], stats["block_vertices"], stats["replication"]) == (0, 0, None)
+    assert algorithms.pagerank_blocked(none, 2).collect() == algorithms.pagerank_fixed(none, 2).collect() == []
+    assert graph.degree_order(none).collect() == graph.csr_edges(none).collect() == graph.adjacency(none).collect() == []
+    assert graph.replication_factor(none, 2).first()["edges"] == 0
+
+
+def test_edges_with_a_null_end_are_none(spark):
+    edges = spark.createDataFrame([(0, 1, 1), (None, 1, 1), (1, None, 1), (None, None, 1)], "src bigint, dst bigint, weight bigint")
+    plain = edges.where("src = 0")
+    for f in (graph.degrees, graph.adjacency, graph.csr_edges, graph.csr_offsets, graph.vertices, algorithms.connected_components, algorithms.pagerank):
+        assert sorted(map(str, f(edges).collect())) == sorted(map(str, f(plain).collect())), f.__name__
+    for f in (graph.block_counts, graph.grid_blocks, graph.partition_stats, graph.edge_share, graph.padding_sizes, graph.padding_layout, graph.column_split):
+        assert sorted(map(str, f(edges, 2).collect())) == sorted(map(str, f(plain, 2).collect())), f.__name__
+    for f in (algorithms.bfs, algorithms.bfs_pull, algorithms.sssp):
+        assert sorted(map(str, f(edges, 0).collect())) == sorted(map(str, f(plain, 0).collect())), f.__name__
+
+
+def test_hubs_are_dealt_over_salts(spark, monkeypatch):
+    """A vertex of many edges is parted, and nothing else changes."""
+    star = spark.range(1, 200).selectExpr("0 AS src", "id AS dst", "id % 7 AS weight").union(spark.range(1, 200).selectExpr("id", "(id * 17) % 200", "1"))
+    want = [sorted(map(str, f(star).collect())) for f in (lambda e: algorithms.pagerank(e).select("id", F.round("rank", 9)), lambda e: algorithms.bfs(e, 3), lambda e: algorithms.sssp(e, 3))]
+    monkeypatch.setattr(salted, "__defaults__", (10,))
+    kept, hubs = salted(star.select("src", "dst"))
+    assert hubs.count() == 19 and kept.groupBy("src", "salt").count().agg(F.max("count")).first()[0] < 30
+    after = [sorted(map(str, f(star).collect())) for f in (lambda e: algorithms.pagerank(e).select("id", F.round("rank", 9)), lambda e: algorithms.bfs(e, 3), lambda e: algorithms.sssp(e, 3))]
+    assert after == want
+
+
+def test_convergence_stops_early(tiny, dense8):
+    """The ranks of the first round whose change is below the tolerance, not of the last."""
+    trace = []
+    got = values(algorithms.pagerank(tiny, 19, 0.1, trace=trace, dense=dense8), "rank")
+    assert len(trace) == 3 and trace[1] >= 0.1 > trace[2]
+    assert [got[i] for i in range(8)] == pytest.approx(RANKS[3], abs=1e-9)
+
+
+def test_fixed_point_variants(tiny, dense8):
+    one = values(algorithms.pagerank_fixed(tiny, 1, dense=dense8, shifts=False), "score")
+    first, base = int(2**23 / 8), int((1 - 0.85) / 8 * 2**23)
+    assert [one[i] for i in (0, 2, 5, 7)] == [base + int(0.85 * first), base + int(0.85 * (first // 2)), base, base]
+    big = values(algorithms.pagerank_fixed(tiny, 1, 28, dense=dense8), "score")
+    assert big[0] == int((1 - 0.85) / 8 * 2**28) + (108 * (2**28 // 8) >> 7)

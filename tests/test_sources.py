@@ -37,6 +37,16 @@ def test_matrix_market(spark, folder):
     assert rows(edge_list_text(spark, str(folder / "m.mtx"), matrix_market=True)) == [(1, 2), (2, 3)]
 
 
+def test_matrix_market_edge_like_the_sizes(spark, folder):
+    """The line of sizes is told by its place: an edge of the same text stays, and a folder's files each have one."""
+    both = folder / "many.mtx"
+    both.mkdir()
+    (both / "a.mtx").write_text("%%MatrixMarket\n\n3 3 2\n3 3 2\n1 2 7\n")
+    (both / "b.mtx").write_text("4 4 1\n3 3 2\n")
+    assert rows(edge_list_text(spark, str(both / "a.mtx"), matrix_market=True)) == [(1, 2), (3, 3)]
+    assert rows(edge_list_text(spark, str(both), matrix_market=True)) == [(1, 2), (3, 3), (3, 3)]
+
+
 def test_undirected_keeps_loops_single(spark, folder):
     edges = edge_list_text(spark, str(folder / "tiny.txt"))
     assert edges.count() == 3
