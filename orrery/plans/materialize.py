@@ -26,15 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, kind: str = "orrery") -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which `sweep` deletes with the tables."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
 
 
 def materialize(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and return a scan of it."""
     path = fresh_path(df.sparkSession)
     df.write.parquet(path, compression=codec)
-    _WRITTEN.add(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._orrery_path = path
     return out
