@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm import decontamination, langid, lines, mixing, quality, sharding, simhash, sql, tokens, toxicity, urls
-from orrery.plans.materialize import shared_dir
+from orrery.plans.materialize import fresh_path
 from orrery.session import share_package
 
 
@@ -48,7 +47,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "tokens")
     tokens.write_tokens(_read(spark, sf_dir, "documents"), path, tokenizer_path())
     return tokens.read_digests(spark.read.parquet(path))
 
