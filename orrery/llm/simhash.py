@@ -405,46 +405,58 @@ def set_links(cells: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def similar(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (src, dst) that connect all ids of a group whose shingle sets have a Jaccard similarity of `least` or more.
-
-    groups has id and component, sets has id and items (sorted hashes). Every pair of a group is compared but those
-    that verified links connect. A group over CELL_SETS is cut into chunks; one id of each set of connected
-    ones goes on as long as that connects more, and then all pairs of chunks are compared whose ids are not all
-    connected and whose sizes allow the similarity.
+    """Links (src, dst) that connect the ids whose shingle sets have a Jaccard similarity of `least` or more.
+
+    groups has id, keys and component, sets has id and items (sorted hashes). In a group of CELL_SETS ids or fewer every
+    pair is compared but those that verified links connect. A larger group may be a chain of unlike texts, so
+    its pairs are those that share a key: first its ids are cut into chunks in the order of one key after another, and
+    one id of each set of connected ones goes on as long as that connects more; then every key whose ids are not
+    all connected is a cell. A key of over CELL_SETS ids is cut into chunks, and all pairs of its chunks are
+    compared whose ids are not all connected and whose sizes allow the similarity.
     """
     large = materialize(groups.groupBy("component").count().where(F.col("count") > CELL_SETS).select("component"))
     small = groups.join(large, "component", "left_anti")
     found = set_links(small.select(F.col("component").alias("cell"), F.lit(0).alias("side"), "id", F.col("id").alias("label")), sets, least)
     if large.isEmpty():
         return found
-    rest = materialize(groups.join(large, "component").select("id", "component"))
+    rest = materialize(groups.join(large, "component").select("id", "component", "keys"))
     part, before = rest, rest.count()
     links = None
-    while True:
-        chunk = ranked(part, ["id"], ["component"]).withColumn("chunk", F.floor(F.col("rank") / CELL_SETS))
+    for turn in range(BANDS):
+        key = F.get("keys", F.lit(turn))
+        chunk = ranked(part.select("id", "component", key.alias("key")), ["key", "id"], ["component"]).withColumn("chunk", F.floor(F.col("rank") / CELL_SETS))
         new = set_links(chunk.select(F.xxhash64("component", "chunk").alias("cell"), F.lit(0).alias("side"), "id", F.col("id").alias("label")), sets, least)
         links = new if links is None else materialize(links.union(new))
         member = materialize(components(links).withColumnRenamed("component", "label"))
-        named = materialize(rest.join(member, "id", "left").select("id", "component", F.coalesce("label", "id").alias("label")))
-        part = materialize(named.where("id = label").select("id", "component"))
+        named = materialize(rest.join(member, "id", "left").select("id", "component", "keys", F.coalesce("label", "id").alias("label")))
+        part = materialize(named.where("id = label").select("id", "component", "keys"))
         left = part.count()
         if left > 0.9 * before:
             break
         before = left
-    sized = named.join(sets.select("id", (F.octet_length("items") / 8).alias("size")), "id")
-    chunk = materialize(ranked(sized, ["label", "size", "id"], ["component"]).withColumn("chunk", F.floor(F.col("rank") / CELL_SETS)))
+    at = materialize(named.select("id", "label", F.explode("keys").alias("key")))
+    mixed = materialize(at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key", "n"))
+    few = at.join(mixed.where(F.col("n") <= CELL_SETS).select("key"), "key")
+    inside = set_links(few.select(F.col("key").alias("cell"), F.lit(0).alias("side"), "id", "label"), sets, least)
+    many = at.join(mixed.where(F.col("n") > CELL_SETS).select("key"), "key")
+    return found.union(links).union(inside).union(across(many, sets, least))
+
+
+def across(at: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (src, dst) among the ids of a key, of (id, label, key), by pairs of chunks of CELL_SETS ids."""
+    sized = at.join(sets.select("id", (F.octet_length("items") / 8).alias("size")), "id")
+    chunk = materialize(ranked(sized, ["label", "size", "id"], ["key"]).withColumn("chunk", F.floor(F.col("rank") / CELL_SETS)))
     ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("label", "size")]
-    node = materialize(chunk.groupBy("component", "chunk").agg(*ends))
-    a, b = (node.select("component", *[F.col(c).alias(f"{c}_{k}") for c in node.columns[1:]]) for k in "ab")
+    node = materialize(chunk.groupBy("key", "chunk").agg(*ends))
+    a, b = (node.select("key", *[F.col(c).alias(f"{c}_{k}") for c in node.columns[1:]]) for k in "ab")
     same = "min_label_a = max_label_a and min_label_b = max_label_b and min_label_a = min_label_b"
     fits = (F.col("max_size_a") >= least * F.col("min_size_b")) & (F.col("max_size_b") >= least * F.col("min_size_a"))
-    pairs = a.join(b, "component").where("chunk_a <= chunk_b").where(f"not ({same})").where(fits)
-    pairs = materialize(pairs.select("component", "chunk_a", "chunk_b", F.xxhash64("component", "chunk_a", "chunk_b").alias("cell")))
-    sides = pairs.select("component", F.col("chunk_a").alias("chunk"), "cell", F.lit(0).alias("side")).union(
-        pairs.where("chunk_a < chunk_b").select("component", "chunk_b", "cell", F.lit(1))
+    pairs = a.join(b, "key").where("chunk_a <= chunk_b").where(f"not ({same})").where(fits)
+    pairs = materialize(pairs.select("key", "chunk_a", "chunk_b", F.xxhash64("key", "chunk_a", "chunk_b").alias("cell")))
+    sides = pairs.select("key", F.col("chunk_a").alias("chunk"), "cell", F.lit(0).alias("side")).union(
+        pairs.where("chunk_a < chunk_b").select("key", "chunk_b", "cell", F.lit(1))
     )
-    across = set_links(chunk.join(sides, ["component", "chunk"]).select("cell", "side", "id", "label"), sets, least)
-    return found.union(links).union(across)
+    return set_links(chunk.join(sides, ["key", "chunk"]).select("cell", "side", "id", "label"), sets, least)
 
 
 def shingle_set(text: str | None, width: int) -> bytes:
@@ -486,9 +498,11 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) ->
     """docs (doc_id, text, ...) without all but the first document, by doc_id, of each group of near-duplicates.
 
     Candidates share a band of least hashes of their distinct `width`-word shingles; the index of
-    fingerprints above would need hundreds of tables for the same recall. They only say which documents may belong together: inside each group of candidates all pairs are
-    then compared on whole shingle sets, and none but verified links make a pair needless. Texts with the same set of shingles are copies of each other; so are all texts without a word. Documents
+    fingerprints above would need hundreds of tables for the same recall. They only say which documents may belong
+    together: candidates are then compared on whole shingle sets, and none but verified links make a pair needless.
+    Texts with the same set of shingles are copies of each other; so are all texts without a word. Documents
     that repeat doc_id and text are one document; of several texts under one doc_id the smallest hash comes first.
+    Very long texts are read whole; an empty table gives an empty one; columns besides these stay as they are.
     Names that begin with `_near_` are reserved.
     """
     h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -507,12 +521,12 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) ->
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
     nodes = materialize(marked.groupBy("id").agg(F.first("keys").alias("keys"), first))
     groups = materialize(components(band_links(nodes)))
-    held = nodes.join(groups, "id").select("id", F.col("first.doc_id").alias("k_id"), F.col("first.h").alias("k_h"))
+    held = nodes.join(groups, "id").select("id", "keys", "component", F.col("first.doc_id").alias("k_id"), F.col("first.h").alias("k_h"))
     held = materialize(held)
     # a text of each shingle set that has a link
-    own = texts.join(_few(held), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h"))).select("id", "text")
+    own = texts.join(_few(held.select("id", "k_id", "k_h")), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h"))).select("id", "text")
     sets = materialize(shingle_sets(own, width).dropDuplicates(["id"]))
-    member = materialize(components(similar(groups, sets, least)))
+    member = materialize(components(similar(held.select("id", "keys", "component"), sets, least)))
     of = nodes.select("id", "first").join(member, "id", "left").select("id", "first", F.coalesce("component", "id").alias("group"))
     of = materialize(of)
     heads = materialize(of.groupBy("group").agg(F.min("first").alias("head")))
