@@ -419,18 +419,17 @@ def similar(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     found = set_links(small.select(F.col("component").alias("cell"), F.lit(0).alias("side"), "id", F.col("id").alias("label")), sets, least)
     if large.isEmpty():
         return found
-    rest = materialize(groups.join(large, "component").select("id", "component", "keys"))
-    part, before = rest, rest.count()
-    links = None
+    named = materialize(groups.join(large, "component").select("id", "component", "keys", F.col("id").alias("label")))
+    before = named.count()
     for turn in range(BANDS):
-        key = F.get("keys", F.lit(turn))
-        chunk = ranked(part.select("id", "component", key.alias("key")), ["key", "id"], ["component"]).withColumn("chunk", F.floor(F.col("rank") / CELL_SETS))
+        part = named.where("id = label").select("id", "component", F.get("keys", F.lit(turn)).alias("key"))
+        chunk = ranked(part, ["key", "id"], ["component"]).withColumn("chunk", F.floor(F.col("rank") / CELL_SETS))
         new = set_links(chunk.select(F.xxhash64("component", "chunk").alias("cell"), F.lit(0).alias("side"), "id", F.col("id").alias("label")), sets, least)
-        links = new if links is None else materialize(links.union(new))
-        member = materialize(components(links).withColumnRenamed("component", "label"))
-        named = materialize(rest.join(member, "id", "left").select("id", "component", "keys", F.coalesce("label", "id").alias("label")))
-        part = materialize(named.where("id = label").select("id", "component", "keys"))
-        left = part.count()
+        found = found.union(new)
+        # the links are between labels, so that each turn's are fewer
+        member = components(new).select(F.col("id").alias("label"), F.col("component").alias("then"))
+        named = materialize(named.join(materialize(member), "label", "left").select("id", "component", "keys", F.coalesce("then", "label").alias("label")))
+        left = named.where("id = label").count()
         if left > 0.9 * before:
             break
         before = left
@@ -439,7 +438,7 @@ def similar(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     few = at.join(mixed.where(F.col("n") <= CELL_SETS).select("key"), "key")
     inside = set_links(few.select(F.col("key").alias("cell"), F.lit(0).alias("side"), "id", "label"), sets, least)
     many = at.join(mixed.where(F.col("n") > CELL_SETS).select("key"), "key")
-    return found.union(links).union(inside).union(across(many, sets, least))
+    return found.union(inside).union(across(many, sets, least))
 
 
 def across(at: DataFrame, sets: DataFrame, least: float) -> DataFrame:
