@@ -12,8 +12,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     """(id, component) for every endpoint of a non-loop edge; `component` is the smallest id reachable.
 
     Weak connectivity; NULL endpoints are dropped. Each round every vertex moves to the neighbour with
-    the smallest seeded hash (itself included), edges follow, loops vanish. An edge (x, m(x)) becomes
-    (m(x), m(m(x))), so no connection is lost, and a constant share of the vertices goes in each round
+    the smallest rank (itself included), edges follow, loops vanish. The rank is the id in every other round, which
+    ends stars around their smallest id at once, and a seeded hash in the others. An edge (x, m(x)) becomes
+    (m(x), m(m(x))), so no connection is lost, and a constant share of the vertices goes in each hashed round
     whatever the shape: paths and stars take O(log n) rounds. The rounds' moves, each a table smaller than the
     one before, are put together at the end. Minima are pre-aggregated before the shuffle and joined from
     written tables, so a hub's rows can be split by adaptive skew handling.
@@ -25,8 +26,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     hops: list[DataFrame] = []
     while not live.isEmpty():
 
-        def rank(c: str, salt: int = len(hops)):
-            return F.struct(F.xxhash64(F.lit(salt), F.col(c)).alias("h"), F.col(c).alias("x"))
+        def rank(c: str, turn: int = len(hops)):
+            return F.struct((F.xxhash64(F.lit(turn), F.col(c)) if turn % 2 else F.lit(0).cast("long")).alias("h"), F.col(c).alias("x"))
 
         both = live.select(F.col("u").alias("from"), rank("v").alias("to")).union(live.select("v", rank("u")))
         own = both.groupBy("from").agg(F.min("to").alias("to"))
