@@ -14,9 +14,10 @@ a fourth; the score is a logistic curve through it.
 
 Counts are of documents that hold an expression, or of the distinct contexts (the word before it) in which
 the class shows it where those are fewer, so that neither one document's repetitions nor its copies are many
-occasions. Words are hashed to BINS bins, and a model holds at most PAIRS pairs, those of the largest discounted
-counts, which bounds the models whatever the vocabulary. At most LABELLED_ROWS labelled rows, those with the
-smallest hashes of doc_id, are used; every document is scored on its whole text, however long.
+occasions. Words are hashed to BINS bins. Every labelled row teaches, every pair with a discounted count is in the
+models, and every document is scored on its whole text, however long. The PAIRS pairs of the largest discounted
+counts are broadcast; the terms of the others, if there are more, are joined to the texts that hold them. Terms are
+multiples of FINE, so that their sums are the same in any order and by either way.
 
 Null and empty texts have statistic 0. An empty table gives an empty one. Repeated rows are scored each; a doc_id
 with several labels counts as toxic if any is; null labels and a null doc_id teach nothing. Without labelled rows
@@ -31,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,12 +45,18 @@ BINS = 1 << 20
 WORD_BITS = 21
 #: Tells a word's key from a pair's.
 SINGLE = 1 << 62
+#: Pairs that come to the driver and are broadcast.
 PAIRS = 1 << 20
+#: What a term is a multiple of.
+FINE = 2.0**-32
+#: Places of the set by which texts tell which of their pairs may be among those that are not broadcast.
+PLACES = 27
 DISCOUNT = 3.0
 Z = 4.0
 #: Discount of the shared continuation counts; what it frees goes to all bins alike.
 SHARED_DISCOUNT = 0.5
-LABELLED_ROWS = 400_000
+#: Labelled ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 FOLDS = 5
 #: Bits of a set of contexts from which on it is taken as full.
 FULL = 56
@@ -105,7 +113,7 @@ def _added(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def counts(rows: DataFrame) -> DataFrame:
-    """By expression and class: documents, and a set of contexts (64 bits); rows has text and toxic (0 or 1)."""
+    """By expression and class: documents, and a set of contexts (64 bits), in parts that add up; rows has text and toxic (0 or 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -122,8 +130,7 @@ def counts(rows: DataFrame) -> DataFrame:
             whole = _added(parts)
             yield from (whole.slice(at, 100_000) for at in range(0, whole.num_rows, 100_000))
 
-    found = rows.select("text", "toxic").mapInArrow(run, ", ".join(f"{c} long" for c in COUNTED))
-    return found.groupBy(*COUNTED[:2]).agg(F.sum("n").alias("n"), F.bit_or("contexts").alias("contexts"))
+    return rows.select("text", "toxic").mapInArrow(run, ", ".join(f"{c} long" for c in COUNTED))
 
 
 def occasions(table: DataFrame) -> DataFrame:
@@ -148,13 +155,14 @@ class Models:
 
     word: np.ndarray  # 2 x BINS: share of a word
     first: np.ndarray  # 2 x (BINS + 1): share of a word, or of the start, as the first of a pair
-    pairs: np.ndarray  # sorted keys of the pairs with discounted counts
+    pairs: np.ndarray  # sorted keys of the pairs with the largest discounted counts
     kept: np.ndarray  # 2 x pairs: their discounted shares
-    after: np.ndarray  # 2 x (BINS + 1): the sum of those of one first word
-    freed: np.ndarray  # 2: the mass that the pairs' discounts freed
+    after: np.ndarray  # 2 x (BINS + 1): the sum of those of one first word, over all pairs
+    freed: np.ndarray  # 2: the mass that all pairs' discounts freed
+    rest: DataFrame | None = None  # key, k0, k1: the pairs beyond PAIRS
 
     def share(self, c: int, u: int) -> np.ndarray:
-        """The share of every word after u."""
+        """The share of every word after u, where all pairs are in `pairs`."""
         out = self.freed[c] * self.first[c, u] * self.word[c]
         mine = self.pairs >> WORD_BITS == u
         out[self.pairs[mine] & ((1 << WORD_BITS) - 1)] += self.kept[c, mine]
@@ -164,13 +172,23 @@ class Models:
         """What a document's statistic is added up from: terms of words, of words before, and of pairs."""
         backed = self.freed[:, None] * self.first
         part = np.log(backed / (self.after + backed))
-        u, w = self.pairs >> WORD_BITS, self.pairs & ((1 << WORD_BITS) - 1)
-        more = np.log1p(self.kept / (backed[:, u] * self.word[:, w]))
-        return np.log(self.word[1] / self.word[0]), part[1] - part[0], self.pairs, more[1] - more[0]
+        of_pair = pair_terms(self.pairs, self.kept, backed, self.word)
+        return fine(np.log(self.word[1] / self.word[0])), fine(part[1] - part[0]), self.pairs, of_pair
 
 
-def statistic_of(words: np.ndarray, prepared: tuple) -> float:
-    """The log-likelihood ratio of a text's words, divided by their number."""
+def fine(term: np.ndarray) -> np.ndarray:
+    return np.round(term / FINE) * FINE
+
+
+def pair_terms(pairs: np.ndarray, kept: np.ndarray, backed: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """What each pair adds to a statistic beyond the terms of its words."""
+    u, w = pairs >> WORD_BITS, pairs & ((1 << WORD_BITS) - 1)
+    more = np.log1p(kept / (backed[:, u] * word[:, w]))
+    return fine(more[1] - more[0])
+
+
+def total_of(words: np.ndarray, prepared: tuple) -> float:
+    """The log-likelihood ratio of a text's words, but for pairs that are not broadcast."""
     of_word, of_first, pairs, of_pair = prepared
     if not len(words):
         return 0.0
@@ -180,7 +198,12 @@ def statistic_of(words: np.ndarray, prepared: tuple) -> float:
         key = u << WORD_BITS | words
         at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
         total += of_pair[at[pairs[at] == key]].sum()
-    return float(total / len(words))
+    return float(total)
+
+
+def statistic_of(words: np.ndarray, prepared: tuple) -> float:
+    """The log-likelihood ratio of a text's words, divided by their number."""
+    return total_of(words, prepared) / max(len(words), 1)
 
 
 def discounted(n: Column, both: Column, share: float) -> Column:
@@ -190,7 +213,7 @@ def discounted(n: Column, both: Column, share: float) -> Column:
 
 
 def models(table: DataFrame) -> Models | None:
-    """The models of counted expressions; BINS words and PAIRS pairs at most come to the driver."""
+    """The models of counted expressions; BINS words, as many first words and PAIRS pairs at most come to the driver."""
     found = materialize(occasions(table))
     single = F.col("key").bitwiseAND(F.lit(SINGLE)) != 0
     totals = {r["single"]: (r["a"], r["b"]) for r in found.groupBy(single.alias("single")).agg(F.sum("ordinary").alias("a"), F.sum("toxic").alias("b")).collect()}
@@ -209,17 +232,48 @@ def models(table: DataFrame) -> Models | None:
     for c in (0, 1):
         share[c, at] = words.column(f"k{c}").to_numpy() / totals[True][c]
         share[c] += (1 - share[c].sum()) * shared
-    some = kept(found.where(~single), totals[False]).where("k0 + k1 > 0").orderBy(F.desc(F.col("k0") + F.col("k1")), "key").limit(PAIRS).toArrow()
-    key = some.column("key").to_numpy()
+    some = kept(found.where(~single), totals[False]).where("k0 + k1 > 0")
+    some = materialize(some.select("key", (F.col("k0") + F.col("k1")).alias("most"), *[(F.col(f"k{c}") / F.lit(totals[False][c])).alias(f"k{c}") for c in (0, 1)]))
+    top = some.orderBy(F.desc("most"), "key").limit(PAIRS).toArrow()
+    rest = None
+    if some.count() > PAIRS:
+        most, last = top.column("most")[-1].as_py(), top.column("key")[-1].as_py()
+        rest = some.where((F.col("most") < F.lit(most)) | ((F.col("most") == F.lit(most)) & (F.col("key") > F.lit(last)))).select("key", "k0", "k1")
+    key = top.column("key").to_numpy()
     order = np.argsort(key)
     pairs = key[order].astype(np.int64)
-    held = np.array([some.column(f"k{c}").to_numpy()[order] / totals[False][c] for c in (0, 1)]).reshape(2, -1)
-    after = np.array([np.bincount(pairs >> WORD_BITS, held[c], minlength=BINS + 1) for c in (0, 1)])
+    held = np.array([top.column(f"k{c}").to_numpy()[order] for c in (0, 1)]).reshape(2, -1)
+    by_first = some.groupBy(F.shiftright("key", WORD_BITS).alias("u")).agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1")).toArrow()
+    after = np.zeros((2, BINS + 1))
+    for c in (0, 1):
+        after[c, by_first.column("u").to_numpy()] = by_first.column(f"k{c}").to_numpy()
     # a text starts as often as both classes' counts of pairs from the start say
     begun = sum(found.where(~single & (F.shiftright("key", WORD_BITS) == BINS)).agg(F.sum("ordinary"), F.sum("toxic")).first())
     start = begun / sum(totals[False])
     first = np.concatenate([share * (1 - start), np.full((2, 1), start)], axis=1)
-    return Models(share, first, pairs, held, after, 1 - held.sum(axis=1))
+    return Models(share, first, pairs, held, after, 1 - after.sum(axis=1), rest)
+
+
+def place(keys: np.ndarray) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PLACES)).astype(np.int64)
+
+
+def rest_terms(fitted: Models) -> tuple[DataFrame, np.ndarray]:
+    """(key, term) of the pairs that are not broadcast, and the set of their places in words of 64 bits."""
+    shipped = fitted.rest.sparkSession.sparkContext.broadcast((fitted.freed[:, None] * fitted.first, fitted.word))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column(0).to_numpy()
+            term = pair_terms(key, np.array([b.column(c).to_numpy() for c in (1, 2)]), *shipped.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(term), pa.array(place(key))], ["key", "term", "place"])
+
+    rest = materialize(fitted.rest.mapInArrow(run, "key long, term double, place long"))
+    bit = F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits")
+    found = rest.groupBy(F.shiftright("place", 6).alias("at")).agg(bit).toArrow()
+    places = np.zeros(1 << (PLACES - 6), dtype=np.uint64)
+    places[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return rest.select("key", "term"), places
 
 
 def statistic(docs: DataFrame, fitted: Models) -> DataFrame:
@@ -232,23 +286,56 @@ def statistic(docs: DataFrame, fitted: Models) -> DataFrame:
             x = [statistic_of(bins_of(t), prepared) for t in b.column("text").cast(pa.string()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(x, pa.float64())], [*b.schema.names, "_tox_x"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_tox_x", T.DoubleType())]))
+    if fitted.rest is None:
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_tox_x", T.DoubleType())]))
+    rest, places = rest_terms(fitted)
+    shipped_places = docs.sparkSession.sparkContext.broadcast(places)
+
+    def digest(text: str | None) -> bytes:
+        return xxhash.xxh3_128_digest((text or "").encode())
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prepared = shipped.value
+        for b in batches:
+            texts = b.column("text").cast(pa.string()).to_pylist()
+            words = [bins_of(t) for t in texts]
+            more = [pa.array([digest(t) for t in texts], pa.binary()), pa.array([total_of(w, prepared) for w in words], pa.float64()), pa.array([max(len(w), 1) for w in words], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "_tox_h", "_tox_total", "_tox_n"])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, has = shipped.value[2], shipped_places.value
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                words = bins_of(text)
+                key, times = np.unique(before(words) << WORD_BITS | words, return_counts=True)
+                at = place(key)
+                some = (has[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+                some &= held[np.minimum(np.searchsorted(held, key), len(held) - 1)] != key
+                if some.any():
+                    h = pa.array([digest(text)] * int(some.sum()), pa.binary())
+                    yield pa.RecordBatch.from_arrays([h, pa.array(key[some]), pa.array(times[some])], ["_tox_h", "key", "times"])
+
+    # equal texts ask once; a text's terms come back under its digest
+    ask = docs.select(F.col("text").cast("string")).mapInArrow(asked, "_tox_h binary, key long, times long").distinct()
+    more = ask.join(rest, "key").groupBy("_tox_h").agg(F.sum(F.col("times") * F.col("term")).alias("_tox_more"))
+    fields = [T.StructField("_tox_h", T.BinaryType()), T.StructField("_tox_total", T.DoubleType()), T.StructField("_tox_n", T.LongType())]
+    rows = docs.mapInArrow(whole, T.StructType([*docs.schema.fields, *fields])).join(more, "_tox_h", "left")
+    return rows.select(*docs.columns, ((F.col("_tox_total") + F.coalesce("_tox_more", F.lit(0.0))) / F.col("_tox_n")).alias("_tox_x"))
 
 
 # --- use ------------------------------------------------------------------------------------------
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS) -> tuple[Models, float, float] | None:
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Models, float, float] | None:
     """The models, the cut and the scale of the curve; None without labelled rows of both classes."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(fold(F.col("doc_id")) != 0)
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) if known.count() > limit else known
+    known = materialize(known.where(fold(F.col("doc_id")) != 0))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    train = texts.join(F.broadcast(known), "doc_id")  # `limit` rows of 12 bytes at most
+    train = texts.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "doc_id")
     teach, tune = train.where(fold(F.col("doc_id")) > 1), train.where(fold(F.col("doc_id")) == 1)
-    both = models(materialize(counts(teach)))
+    both = models(counts(teach))
     if both is None:  # too few rows to hold a fold back
-        both, tune = models(materialize(counts(train))), train
+        both, tune = models(counts(train)), train
     if both is None:
         return None
     at = cut(statistic(tune.select("text", "toxic"), both).select(F.col("_tox_x").alias("x"), F.col("toxic").alias("y")), REACH)
@@ -269,9 +356,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(docs, fit(docs, labels)).where("_tox_score < 0.5").drop("_tox_score")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
     score = F.col("_tox_score")
-    return scored(rows, fit(rows, labels, limit)).select("doc_id", held_out, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    return scored(rows, fit(rows, labels)).select("doc_id", held_out, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))

@@ -206,3 +206,20 @@ def test_toxicity_models_against_plain_python(spark, monkeypatch):
         w = toxicity.bins_of(text)
         want = [sum(math.log(found.share(c, u)[x]) for u, x in zip(toxicity.before(w), w, strict=True)) / len(w) for c in (0, 1)]
         assert toxicity.statistic_of(w, prepared) == pytest.approx(want[1] - want[0])
+
+
+def test_toxicity_pairs_beyond_the_broadcast_ones_count(spark, docs, corpus, monkeypatch):
+    """However few pairs are broadcast, and however the labels are joined, all pairs and labels have their part in every score."""
+    monkeypatch.setattr(toxicity, "DISCOUNT", 0.5)
+    monkeypatch.setattr(toxicity, "Z", 0.5)
+    rows, labels, _ = corpus
+    rows = docs().select(*rows.columns).union(rows).union(rows.limit(50))
+    want = sorted(map(str, toxicity.toxicity(rows, labels).collect()))
+    kept = sorted(map(str, toxicity.drop_toxic(rows, labels).collect()))
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 100)
+    for pairs in (300, 3):
+        monkeypatch.setattr(toxicity, "PAIRS", pairs)
+        both, _, _ = toxicity.fit(rows, labels)
+        assert len(both.pairs) == pairs and both.rest.count() > 300
+        assert sorted(map(str, toxicity.toxicity(rows, labels).collect())) == want
+    assert sorted(map(str, toxicity.drop_toxic(rows, labels).collect())) == kept
