@@ -2,7 +2,7 @@
 
 Rules count white-space-separated words, signs, repeated lines and words in repeated windows. The ratio is that of
 two multinomials over BUCKETS hashed unigrams and bigrams of lower-cased letter runs and sign runs: one of trusted rows
-(label quality = 1, TRUSTED_ROWS at most), one of all rows; the mean log-ratio of a document's n-grams has no part in
+(label quality = 1, however many), one of all rows; the mean log-ratio of a document's n-grams has no part in
 its length. Every document is compared with the same cut: the value with the fewest errors on a fold of labelled
 rows that pass the rules, none of them among the trusted rows. Rows whose crc32(doc_id as text) modulo FOLDS is 0
 teach neither the ratio's trusted side nor the cut, so that verdicts can be measured on them. Nothing is drawn at random.
@@ -30,8 +30,8 @@ SIGNS = "#*$%&|<>"
 SPACE = " \t\n\x0b\f\r"
 REACH = 4.0
 FOLDS = 5
-#: Trusted rows used at most, those with the smallest hashes of doc_id; so many ids are broadcast.
-TRUSTED_ROWS = 400_000
+#: Ids of trusted rows that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 GRAM = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 
 
@@ -110,9 +110,8 @@ def mean_ratio(text: Column, held: Column) -> Column:
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """log(trusted share / share in all rows) for each bucket in order, smoothed by one count."""
-    if trusted.count() > TRUSTED_ROWS:
-        trusted = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS)
-    mark = docs.join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
+    trusted = materialize(trusted.withColumn("good", F.lit(1)))
+    mark = docs.join(F.broadcast(trusted) if trusted.count() <= BROADCAST_ROWS else trusted, "doc_id", "left")
     per = mark.select(F.explode(grams(F.col("text"))).alias("bucket"), "good").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count("good").alias("t"))
     per = materialize(per)
     n, t = per.agg(F.sum("n"), F.sum("t")).first()

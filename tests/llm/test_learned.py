@@ -223,3 +223,12 @@ def test_toxicity_pairs_beyond_the_broadcast_ones_count(spark, docs, corpus, mon
         assert len(both.pairs) == pairs and both.rest.count() > 300
         assert sorted(map(str, toxicity.toxicity(rows, labels).collect())) == want
     assert sorted(map(str, toxicity.drop_toxic(rows, labels).collect())) == kept
+
+
+def test_quality_learns_from_every_trusted_row(corpus, monkeypatch):
+    """However many trusted rows there are, and however they are joined, all have their part in the ratio."""
+    docs, labels, _ = corpus
+    want = sorted(map(str, quality.quality(docs, labels).collect()))
+    for name in ("TRUSTED_ROWS", "BROADCAST_ROWS"):
+        monkeypatch.setattr(quality, name, 50, raising=False)
+    assert sorted(map(str, quality.quality(docs, labels).collect())) == want
