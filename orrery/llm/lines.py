@@ -39,14 +39,18 @@ SHORT = 8
 BROADCAST_ROWS = 1_000_000
 
 
-def parity(line: str) -> int:
-    """64 parities of how often the line has a pair of neighbouring characters, by the pair's hash."""
-    x = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    if len(x) < 2:
-        return 0
-    at = ((x[:-1] * np.uint64(0x9E3779B1) + x[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)) & np.uint64(63)
-    odd = np.flatnonzero(np.bincount(at.astype(np.int64), minlength=64) & 1)
-    return int(np.bitwise_or.reduce(np.uint64(1) << odd.astype(np.uint64), initial=np.uint64(0)))
+def parities(lines: list[str]) -> np.ndarray:
+    """By line, 64 parities of how often it has a pair of neighbouring characters, by the pair's hash."""
+    size = np.array([len(x) for x in lines], dtype=np.int64)
+    out, some = np.zeros(len(lines), dtype=np.uint64), size > 0
+    x = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    if len(x):
+        at = np.zeros(len(x), dtype=np.uint64)
+        at[:-1] = ((x[:-1] * np.uint32(0x9E3779B1) + x[1:] * np.uint32(0x85EBCA77)) >> np.uint32(7)) & np.uint32(63)
+        bit = np.uint64(1) << at
+        bit[np.cumsum(size[some]) - 1] = 0  # a line's last character begins no pair
+        out[some] = np.bitwise_xor.reduceat(bit, (np.cumsum(size) - size)[some])
+    return out
 
 
 def told_apart(docs: DataFrame) -> DataFrame:
@@ -80,7 +84,7 @@ def split_lines(rows: DataFrame, whole: bool = True) -> DataFrame:
                 columns = {"doc_id": b.column(0).take(again), "t": b.column(2).take(again), "line_no": pa.array(place, pa.int32()), "h1": pa.array(hashes[:, 0]), "h2": pa.array(hashes[:, 1])}
                 columns["blank"] = pa.array([not x for x in lines], pa.bool_())
                 if whole:
-                    sig = np.array([parity(x) for x in lines], dtype=np.uint64).view(np.int64)
+                    sig = np.concatenate([parities(lines[a : a + 128]) for a in range(0, len(lines), 128)]).view(np.int64)
                     columns |= {"line": pa.array(lines, pa.string()), "len": pa.array([len(x) for x in lines], pa.int32()), "sig": pa.array(sig)}
                 else:
                     columns["copies"] = b.column(3).take(again)

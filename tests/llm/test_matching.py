@@ -291,3 +291,15 @@ def test_short_lines_link(docs):
     got = {r["doc_id"]: (r["n_links"], r["kept"]) for r in lines.line_classes(docs([(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
     assert [got[i][0] for i in range(len(texts))] == near == [1] * 10 + [0] * 2
     assert sorted(i for i in got if got[i][1]) == [0, 2, 4, 6, 8, 10, 11]
+
+
+def test_parities_against_plain_python():
+    rng = random.Random(11)
+    rows = ["", "a", "ab", "", "\U0001f600x\ud800", *("".join(rng.choice("ab \U0001f600文") for _ in range(rng.randint(0, 90))) for _ in range(300)), ""]
+    want = []
+    for row in rows:
+        want.append(0)
+        for x, y in zip(row, row[1:]):
+            want[-1] ^= 1 << ((ord(x) * 0x9E3779B1 + ord(y) * 0x85EBCA77) >> 7 & 63)
+    assert lines.parities(rows).tolist() == want
+    assert lines.parities([]).tolist() == [] and lines.parities(["", ""]).tolist() == [0, 0]
