@@ -60,12 +60,25 @@ def fingerprint(items: list[bytes], bits: int = 64) -> bytes:
             got = np.array([xxhash.xxh64_intdigest(x, 42) for x in part], dtype=">u8").view(np.uint8)
         else:
             got = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x, s) for x in part for s in range(bits // 128)), dtype=np.uint8)
-        lanes = SPREAD[got.reshape(len(part), bits // 8)]
-        for a in range(0, len(part), 255):  # a lane holds 255 at most
-            ones += lanes[a : a + 255].sum(axis=0, dtype=np.uint64).view(np.uint8)
+        ones += set_bits(got.reshape(len(part), bits // 8))
     return np.packbits(2 * ones > len(items)).tobytes()
 
 
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """By bit, how many of the hashes (rows of bytes) have it set."""
+    ones = np.zeros(8 * hashes.shape[1], dtype=np.int64)
+    lanes = SPREAD[hashes]
+    for a in range(0, len(hashes), 255):  # a lane holds 255 at most
+        ones += lanes[a : a + 255].sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return ones
+
+
+def set_fingerprint(items: np.ndarray) -> bytes:
+    """The 64-bit fingerprint of a set of hashes."""
+    parts = [items[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8) for at in range(0, len(items), 1 << 14)]
+    return np.packbits(2 * sum(map(set_bits, parts), np.zeros(64, dtype=np.int64)) > len(items)).tobytes()
+
+
 def gray_rank(words: np.ndarray) -> np.ndarray:
     """The rank in Gray order of each row's first word."""
     x = words.astype(np.uint64)
@@ -331,6 +344,8 @@ def simhash_groups(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFram
 #: A pair of similarity J shares the least shingle under one of the BANDS * ROWS orders with probability J, all ROWS of
 #: a band with J ** ROWS, and no band with (1 - J ** ROWS) ** BANDS: 7e-5 at 0.8, for short texts as for long ones.
 BANDS, ROWS = 24, 5
+#: Fingerprints of shingle sets that differ in so many bits are candidates by themselves.
+RADIUS = 3
 _RNG = np.random.default_rng(7)
 SALTS = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 FACTORS = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -404,12 +419,12 @@ def set_links(cells: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return materialize(rows.repartition(count, "cell").sortWithinPartitions("cell", "side").mapInArrow(run, "src long, dst long"))
 
 
-def similar(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def similar(groups: DataFrame, sets: DataFrame, least: float, tables: list[list[int]]) -> DataFrame:
     """Links (src, dst) that connect the ids whose shingle sets have a Jaccard similarity of `least` or more.
 
-    groups has id, keys and component, sets has id and items (sorted hashes). In a group of CELL_SETS ids or fewer every
+    groups has id, keys, component and fp, sets has id and items (sorted hashes). In a group of CELL_SETS ids or fewer every
     pair is compared but those that verified links connect. A larger group may be a chain of unlike texts, so
-    its pairs are those that share a key: first its ids are cut into chunks in the order of one key after another, and
+    its pairs are those that share a key, of its own or of its fingerprint's in `tables`: first its ids are cut into chunks in the order of one key after another, and
     one id of each set of connected ones goes on as long as that connects more; then every key whose ids are not
     all connected is a cell. A key of over CELL_SETS ids is cut into chunks, and all pairs of its chunks are
     compared whose ids are not all connected and whose sizes allow the similarity.
@@ -433,7 +448,8 @@ def similar(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         if left > 0.9 * before:
             break
         before = left
-    at = materialize(named.select("id", "label", F.explode("keys").alias("key")))
+    every = with_table_keys(groups.join(large, "component", "left_semi"), tables)
+    at = materialize(every.join(named.select("id", "label"), "id").select("id", "label", F.explode("keys").alias("key")))
     mixed = materialize(at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key", "n"))
     few = at.join(mixed.where(F.col("n") <= CELL_SETS).select("key"), "key")
     inside = set_links(few.select(F.col("key").alias("cell"), F.lit(0).alias("side"), "id", "label"), sets, least)
@@ -493,12 +509,38 @@ def band_links(nodes: DataFrame) -> DataFrame:
     return keyed.join(least, "key").where("id <> least").select(F.col("least").alias("src"), F.col("id").alias("dst")).distinct()
 
 
+def index_links(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
+    """(src, dst): links that connect the ids of nodes (id, fp) whose fingerprints differ in RADIUS bits or fewer.
+
+    Ids of one fingerprint are linked to the least of them, which stands for it in the index.
+    """
+    rows = nodes.select("id", "fp", F.conv(F.hex("fp"), 16, -10).cast("long").alias("word"))
+    least = materialize(rows.groupBy("word").agg(F.min("id").alias("least"), F.first("fp").alias("fp")))
+    same = rows.join(least.select("word", "least"), "word").where("id <> least").select(F.col("least").alias("src"), F.col("id").alias("dst"))
+    return near_links(least.select(F.col("least").alias("id"), "fp"), tables, [RADIUS]).union(same)
+
+
+def with_table_keys(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
+    """nodes (id, keys, fp) with the keys of its fingerprint in `tables` after its own: a pair that the index links shares one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for every in batches:
+            for at in range(0, every.num_rows, 2000):
+                b = every.slice(at, 2000)
+                more = np.stack(_keys(_words(b.column(2)), tables), axis=1).tolist()
+                keys = [k + m for k, m in zip(b.column(1).to_pylist(), more, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["id", "keys"])
+
+    return nodes.select("id", "keys", "fp").mapInArrow(run, "id long, keys array<long>")
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """docs (doc_id, text, ...) without all but the first document, by doc_id, of each group of near-duplicates.
 
-    Candidates share a band of least hashes of their distinct `width`-word shingles; the index of
-    fingerprints above would need hundreds of tables for the same recall. They only say which documents may belong
-    together: candidates are then compared on whole shingle sets, and none but verified links make a pair needless.
+    Candidates are all pairs of documents that the index of fingerprints above links, by SimHash of their distinct
+    `width`-word shingles and at RADIUS bits; and, since RADIUS bits reach no similarity near `least` (more would need
+    hundreds of tables), those that share a band of least hashes besides. Candidates only say which documents may belong
+    together: they are then compared on whole shingle sets, and none but verified links make a pair needless.
     Texts with the same set of shingles are copies of each other; so are all texts without a word. Documents
     that repeat doc_id and text are one document; of several texts under one doc_id the smallest hash comes first.
     Very long texts are read whole; an empty table gives an empty one; columns besides these stay as they are.
@@ -512,20 +554,23 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) ->
             texts = b.column(2).to_pylist()
             sets = [shingle_set(t, width) for t in texts]
             ids = np.array([xxhash.xxh3_64_intdigest(x) for x in sets], dtype=np.uint64).view(np.int64)
-            keys = pa.array([band_keys(np.frombuffer(x, dtype="<u8")) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids), keys], ["doc_id", "h", "id", "keys"])
+            items = [np.frombuffer(x, dtype="<u8") for x in sets]
+            keys, fps = pa.array([band_keys(x) for x in items], pa.list_(pa.int64())), pa.array([set_fingerprint(x) for x in items], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids), keys, fps], ["doc_id", "h", "id", "keys", "fp"])
 
     texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_near_h").alias("h"), F.col("text").cast("string").alias("text"))
-    marked = materialize(texts.mapInArrow(mark, "doc_id long, h long, id long, keys array<long>"))
+    marked = materialize(texts.mapInArrow(mark, "doc_id long, h long, id long, keys array<long>, fp binary"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
-    nodes = materialize(marked.groupBy("id").agg(F.first("keys").alias("keys"), first))
-    groups = materialize(components(band_links(nodes)))
-    held = nodes.join(groups, "id").select("id", "keys", "component", F.col("first.doc_id").alias("k_id"), F.col("first.h").alias("k_h"))
+    nodes = materialize(marked.groupBy("id").agg(F.first("keys").alias("keys"), F.first("fp").alias("fp"), first))
+    tables = exact_tables(nodes.count(), RADIUS)
+    candidates = index_links(nodes.where(F.size("keys") > 0), tables).union(band_links(nodes))
+    groups = materialize(components(candidates))
+    held = nodes.join(groups, "id").select("id", "keys", "fp", "component", F.col("first.doc_id").alias("k_id"), F.col("first.h").alias("k_h"))
     held = materialize(held)
     # a text of each shingle set that has a link
     own = texts.join(_few(held.select("id", "k_id", "k_h")), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h"))).select("id", "text")
     sets = materialize(shingle_sets(own, width).dropDuplicates(["id"]))
-    member = materialize(components(similar(held.select("id", "keys", "component"), sets, least)))
+    member = materialize(components(similar(held.select("id", "keys", "fp", "component"), sets, least, tables)))
     of = nodes.select("id", "first").join(member, "id", "left").select("id", "first", F.coalesce("component", "id").alias("group"))
     of = materialize(of)
     heads = materialize(of.groupBy("group").agg(F.min("first").alias("head")))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from orrery.llm import simhash
@@ -116,3 +117,31 @@ def test_repeats_do_not_part_equal_sets(docs):
     texts = [own + f" {song}" * 2, own + f" {song}" * 40 + " end"]
     kept = simhash.drop_near_duplicates(docs([(i, t, "en", "s", 1) for i, t in enumerate(texts)]))
     assert [r["doc_id"] for r in kept.collect()] == kept_by_brute_force(texts) == [0]
+
+
+@pytest.mark.parametrize("cell", [512, 2])
+def test_near_dedup_finds_candidates_by_the_index_of_fingerprints(spark, docs, monkeypatch, cell):
+    """With bands that no two texts share, the stage still drops what is within the index's radius and verified."""
+    rng, texts = random.Random(12), []
+    for d in range(25):
+        base = [f"d{d}w{i}" for i in range(600)]
+        texts.append(" ".join(base))
+        for _ in range(2):
+            base[rng.randrange(600)] = f"e{rng.randrange(10**9)}"
+            texts.append(" ".join(base))
+    fp = [int.from_bytes(simhash.set_fingerprint(np.frombuffer(simhash.shingle_set(t, 5), dtype="<u8"))) for t in texts]
+    for t, f in zip(texts[:5], fp, strict=False):
+        hashes = {xxhash.xxh64_intdigest(x) for x in simhash.shingles(t, 5)}
+        assert f == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and (fp[i] ^ fp[j]).bit_count() <= 3 and jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert len(set(label)) < 40
+    monkeypatch.setattr(simhash, "CELL_SETS", cell)
+    one = lambda items: [xxhash.xxh3_64_intdigest(items.tobytes(), k) >> 1 for k in range(simhash.BANDS)] if len(items) else []
+    monkeypatch.setattr(simhash, "band_keys", one)
+    kept = corpus_pipeline.near_dedup(spark, docs([(i, t, "en", "s", 1) for i, t in enumerate(texts)]), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
