@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.plans import materialize, ranked
+from orrery.plans.workers import released
 
 MOST = 3
 LEAF_ROWS = 4_000
@@ -170,7 +171,7 @@ def mix(keys: DataFrame, seed: int = 11, most: int = MOST) -> DataFrame:
         last = level == 0
         # no two rows tie, so that a node's meetings are the same in every run; a node has few rows, or 64 leftovers
         ordered = leaf.repartition(parts, *names).sortWithinPartitions(*names, F.col("_mix_size").desc(), "doc_id", "_mix_h")
-        stage = materialize(ordered.mapInArrow(_rounded(names, seed, level), leaf.schema))
+        stage = materialize(ordered.mapInArrow(released(_rounded(names, seed, level)), leaf.schema))
         settled = stage.where(F.col("_mix_copies").isNotNull())
         done = settled if done is None else done.union(settled)
         if last:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from orrery.operators.components import components
 from orrery.plans import materialize, ranked, release
+from orrery.plans.workers import released
 
 #: Rows of a bucket that one search takes whole; larger buckets are cut into chunks of half as many.
 CELL_ROWS = 8192
@@ -95,7 +96,7 @@ def fingerprints(docs: DataFrame, width: int = 3, bits: int = 64) -> DataFrame:
             fps = [fingerprint(shingles(t, width), bits) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), "doc_id long, fp binary")
 
 
 # --- tables ---------------------------------------------------------------------------------------
@@ -141,7 +142,7 @@ def keyed(nodes: DataFrame, tables: list[list[int]], whole: bool) -> DataFrame:
                 cols = [pa.array(keys), b.column(0).take(again), b.column(1).take(again), pa.array(gray).take(again)]
                 yield pa.RecordBatch.from_arrays(cols, ["key", "id", "fp", "gray"])
 
-    return nodes.select("id", "fp").mapInArrow(run, "key long, id long, fp binary, gray long" if whole else "key long")
+    return nodes.select("id", "fp").mapInArrow(released(run), "key long, id long, fp binary, gray long" if whole else "key long")
 
 
 # --- search ---------------------------------------------------------------------------------------
@@ -274,7 +275,7 @@ def linked(cells: DataFrame, radii: list[int]) -> DataFrame:
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    return cells.select("cell", "side", "id", "fp").mapInArrow(run, "src long, dst long")
+    return cells.select("cell", "side", "id", "fp").mapInArrow(released(run), "src long, dst long")
 
 
 def chunked(keys: DataFrame, hot: DataFrame, radius: int, width: int) -> DataFrame:
@@ -415,8 +416,12 @@ def set_links(cells: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield solve(held)
 
     count = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cells.join(sets.where("octet_length(items) > 0"), "id").select("cell", "side", "id", "label", "items")
-    return materialize(rows.repartition(count, "cell").sortWithinPartitions("cell", "side").mapInArrow(run, "src long, dst long"))
+    cells = materialize(cells)
+    # cells are a few longs a row and often few beside the sets, which then stay where they are but for those of a cell
+    rows = _few(cells).join(sets.where("octet_length(items) > 0"), "id").select("cell", "side", "id", "label", "items")
+    out = materialize(rows.repartition(count, "cell").sortWithinPartitions("cell", "side").mapInArrow(released(run), "src long, dst long"))
+    release(cells)
+    return out
 
 
 def similar(groups: DataFrame, sets: DataFrame, least: float, tables: list[list[int]]) -> DataFrame:
@@ -487,7 +492,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             items = [shingle_set(t, width) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.binary())], ["id", "items"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, items binary")
+    return docs.select("id", "text").mapInArrow(released(run), "id long, items binary")
 
 
 def band_keys(items: np.ndarray) -> list[int]:
@@ -531,7 +536,7 @@ def with_table_keys(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
                 keys = [k + m for k, m in zip(b.column(1).to_pylist(), more, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["id", "keys"])
 
-    return nodes.select("id", "keys", "fp").mapInArrow(run, "id long, keys array<long>")
+    return nodes.select("id", "keys", "fp").mapInArrow(released(run), "id long, keys array<long>")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
@@ -559,7 +564,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids), keys, fps], ["doc_id", "h", "id", "keys", "fp"])
 
     texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_near_h").alias("h"), F.col("text").cast("string").alias("text"))
-    marked = materialize(texts.mapInArrow(mark, "doc_id long, h long, id long, keys array<long>, fp binary"))
+    marked = materialize(texts.mapInArrow(released(mark), "doc_id long, h long, id long, keys array<long>, fp binary"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
     nodes = materialize(marked.groupBy("id").agg(F.first("keys").alias("keys"), F.first("fp").alias("fp"), first))
     tables = exact_tables(nodes.count(), RADIUS)
@@ -580,6 +585,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) ->
     kept = rows.join(_few(gone), F.col("doc_id").eqNullSafe(F.col("_near_gone_id")) & (F.col("_near_h") == F.col("_near_gone_h")), "left_anti")
     again = marked.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("_near_gone_id"), F.col("h").alias("_near_gone_h"))
     again = materialize(again)
+    release(marked, nodes, groups, held, sets, member, of, heads, head)
     if again.isEmpty():
         return kept.drop("_near_h")
     on = F.col("doc_id").eqNullSafe(F.col("_near_gone_id")) & (F.col("_near_h") == F.col("_near_gone_h"))

@@ -37,10 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.plans import materialize, running_sum
+from orrery.plans.workers import released
 
 END = 1
 SHARD_BYTES = 4 << 20
 CACHED_WORDS = 1_200_000
+#: Bytes of words and their ids that an encoder's newer cache holds; the one before it has as many.
+CACHED_BYTES = 48 << 20
+#: Bytes of a cached word besides its own and its ids': two objects' heads and a place in the table.
+ENTRY = 120
 #: A run that ends in a letter (a-z or U+00C0 to U+00FF without the signs among them), then ASCII signs but for the apostrophe.
 TAILED = re.compile(rb"([a-z\x80-\xff]*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)").fullmatch
 #: Bytes of ASCII without the apostrophe and of U+00C0 to U+00FF; runs of letters and of others but white space in such a text.
@@ -76,6 +81,9 @@ class Encoder:
     ignores case, encodes part by part: each new part once, a word's tail of ASCII signs apart, and a run of small letters by the model
     alone, since normalising and pre-tokenising leave such a run whole. Texts in which a special token or a
     combining mark could be in play are not lower-cased here. Any other tokenizer gets whole texts.
+
+    Ids of parts are kept in two caches of CACHED_BYTES. When the newer is full it takes the place of the older, and
+    parts that come again move over from there, so that frequent ones stay.
     """
 
     def __init__(self, path: str):
@@ -86,6 +94,8 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0
         made = json.loads(self.tokenizer.to_str())
         known = all(made[k] == v for k, v in SPLITTING.items()) and all(t["content"].startswith("<|") for t in made["added_tokens"])
         parts = [(w, *TAILED(w.encode()).groups()) for w in PROBE.lower().split() if TAILED(w.encode())]
@@ -120,8 +130,11 @@ class Encoder:
 
     def learn(self, fresh: set[bytes]) -> None:
         """Put the ids of new words into `known`."""
-        known, tails, runs = self.known, [], set()
+        known, older, tails, runs, before = self.known, self.older, [], set(), len(self.known)
         for w in fresh:
+            if w in older:
+                known[w] = older[w]
+                continue
             m = TAILED(w)
             if m:
                 tails.append((w, m[1], m[2]))
@@ -132,7 +145,9 @@ class Encoder:
         for w in runs:
             if w in known:
                 continue
-            if self.by_run and RUN(w):
+            if w in older:
+                known[w] = older[w]
+            elif self.by_run and RUN(w):
                 known[w] = self.model(w)
             else:
                 rest.append(w)
@@ -142,13 +157,14 @@ class Encoder:
                 known[w] = self.pack(e.ids)
         for w, run, tail in tails:
             known[w] = known[run] + known[tail]
+        self.held += ENTRY * (len(known) - before) + sum(len(w) + len(known[w]) for w in fresh | runs)
 
     def encode(self, texts: list[str | None], end: int = END) -> list[bytes]:
         stop = self.pack([end])
         if not self.by_word:
             return [self.pack(e.ids) + stop for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+        if self.held > CACHED_BYTES or len(self.known) > CACHED_WORDS:
+            self.older, self.known, self.held = self.known, {}, 0
         split, get = [self.words(t) for t in texts], self.known.get
         found = [list(map(get, words)) for words in split]
         missing = [k for k, ids in enumerate(found) if None in ids]
@@ -321,7 +337,7 @@ def encode_shards(docs: DataFrame, tokenizer: str, end: int = END, shard_bytes:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
-    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, SHARD_SCHEMA)
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(released(run), SHARD_SCHEMA)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, shard_bytes: int = SHARD_BYTES) -> None:
@@ -341,7 +357,7 @@ def lookup(spark: SparkSession, path: str, doc_id: int | None, repeat: int = 0)
                     yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int64()))], ["shard", "ids"])
 
     rows = spark.read.parquet(path).where(here).select("shard", "levels", "slots", "width", "payload")
-    found = rows.mapInArrow(run, "shard long, ids array<long>").orderBy("shard").first()
+    found = rows.mapInArrow(released(run), "shard long, ids array<long>").orderBy("shard").first()
     return found["ids"] if found else None
 
 
@@ -366,4 +382,4 @@ def read_digests(shards: DataFrame) -> DataFrame:
                 )
 
     whole = shards.join(starts, "shard").select("shard", "base", "n_null", "keys", "levels", "slots", "width", "payload")
-    return whole.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return whole.mapInArrow(released(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

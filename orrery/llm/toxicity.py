@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 
 from orrery.llm.threshold import cut
 from orrery.plans import materialize
+from orrery.plans.workers import released
 
 BINS = 1 << 20
 #: Bits of a word in a pair's key; one value more than the bins stands for the start of a text.
@@ -130,7 +131,7 @@ def counts(rows: DataFrame) -> DataFrame:
             whole = _added(parts)
             yield from (whole.slice(at, 100_000) for at in range(0, whole.num_rows, 100_000))
 
-    return rows.select("text", "toxic").mapInArrow(run, ", ".join(f"{c} long" for c in COUNTED))
+    return rows.select("text", "toxic").mapInArrow(released(run), ", ".join(f"{c} long" for c in COUNTED))
 
 
 def occasions(table: DataFrame) -> DataFrame:
@@ -268,7 +269,7 @@ def rest_terms(fitted: Models) -> tuple[DataFrame, np.ndarray]:
             term = pair_terms(key, np.array([b.column(c).to_numpy() for c in (1, 2)]), *shipped.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(term), pa.array(place(key))], ["key", "term", "place"])
 
-    rest = materialize(fitted.rest.mapInArrow(run, "key long, term double, place long"))
+    rest = materialize(fitted.rest.mapInArrow(released(run), "key long, term double, place long"))
     bit = F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits")
     found = rest.groupBy(F.shiftright("place", 6).alias("at")).agg(bit).toArrow()
     places = np.zeros(1 << (PLACES - 6), dtype=np.uint64)
@@ -287,7 +288,7 @@ def statistic(docs: DataFrame, fitted: Models) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(x, pa.float64())], [*b.schema.names, "_tox_x"])
 
     if fitted.rest is None:
-        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_tox_x", T.DoubleType())]))
+        return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField("_tox_x", T.DoubleType())]))
     rest, places = rest_terms(fitted)
     shipped_places = docs.sparkSession.sparkContext.broadcast(places)
 
@@ -316,10 +317,10 @@ def statistic(docs: DataFrame, fitted: Models) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([h, pa.array(key[some]), pa.array(times[some])], ["_tox_h", "key", "times"])
 
     # equal texts ask once; a text's terms come back under its digest
-    ask = docs.select(F.col("text").cast("string")).mapInArrow(asked, "_tox_h binary, key long, times long").distinct()
+    ask = docs.select(F.col("text").cast("string")).mapInArrow(released(asked), "_tox_h binary, key long, times long").distinct()
     more = ask.join(rest, "key").groupBy("_tox_h").agg(F.sum(F.col("times") * F.col("term")).alias("_tox_more"))
     fields = [T.StructField("_tox_h", T.BinaryType()), T.StructField("_tox_total", T.DoubleType()), T.StructField("_tox_n", T.LongType())]
-    rows = docs.mapInArrow(whole, T.StructType([*docs.schema.fields, *fields])).join(more, "_tox_h", "left")
+    rows = docs.mapInArrow(released(whole), T.StructType([*docs.schema.fields, *fields])).join(more, "_tox_h", "left")
     return rows.select(*docs.columns, ((F.col("_tox_total") + F.coalesce("_tox_more", F.lit(0.0))) / F.col("_tox_n")).alias("_tox_x"))
 
 

@@ -145,3 +145,54 @@ def test_near_dedup_finds_candidates_by_the_index_of_fingerprints(spark, docs, m
     monkeypatch.setattr(simhash, "band_keys", one)
     kept = corpus_pipeline.near_dedup(spark, docs([(i, t, "en", "s", 1) for i, t in enumerate(texts)]), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
+
+
+def spied(monkeypatch):
+    """Tables that near-dedup writes, with the plans that they were written by."""
+    written, plain = [], simhash.materialize
+
+    def spy(df, *args):
+        out = plain(df, *args)
+        written.append((out, df._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", spy)
+    return written
+
+
+def test_sets_meet_few_cells_without_a_shuffle(spark, monkeypatch):
+    """Every round compares some sets: the others are not sent around for that."""
+    written = spied(monkeypatch)
+    texts = [f"{' '.join(f'a{k % 7}x{i}' for i in range(40))} tail{k}" for k in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = simhash.shingle_sets(rows, 5).localCheckpoint()
+    cells = spark.range(40).selectExpr("id % 7 AS cell", "0 AS side", "id", "id AS label")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = sorted(map(tuple, simhash.set_links(cells, sets, 0.8).collect()))
+        assert "BroadcastHashJoin" in written[-1][1] and "SortMergeJoin" not in written[-1][1]
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+        many = sorted(map(tuple, simhash.set_links(cells, sets, 0.8).collect()))
+        assert "SortMergeJoin" in written[-1][1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    label = list(range(40))
+    for found in (few, many):
+        label = list(range(40))
+        for a, b in found:
+            label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+        assert label == [k % 7 for k in range(40)]
+
+
+def test_near_dedup_deletes_what_its_result_does_not_read(spark, docs, monkeypatch):
+    written = spied(monkeypatch)
+    kept = simhash.drop_near_duplicates(docs([(i, f"{'same words ' * 9}{i % 3}", "en", "s", 1) for i in range(12)] + [(1, f"{'same words ' * 9}1", "en", "s", 1)]))
+    large = [t for t, _ in written if {"keys", "items"} & set(t.columns)]
+    assert large and len(kept.collect()) == 3  # a half of two texts' shingles is the same
+
+    def is_there(t):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._orrery_path)
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    assert not any(map(is_there, large))

@@ -29,6 +29,18 @@ def test_known_words_are_bounded(monkeypatch):
         assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == [*encoder.plain(text), 1]
 
 
+def test_known_words_are_bounded_in_bytes(monkeypatch):
+    """Few long words take as much memory as many short ones."""
+    monkeypatch.setattr(tokens, "CACHED_BYTES", 1 << 20, raising=False)
+    encoder, rng = tokens.Encoder(WORD), random.Random(8)
+    for _ in range(60):
+        text = "often " + "".join(rng.choices("abcdefgh", k=30_000))
+        assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == [*encoder.plain(text), 1]
+    kept = [*encoder.known.items(), *encoder.older.items()] if hasattr(encoder, "older") else encoder.known.items()
+    assert sum(len(w) + len(ids) for w, ids in kept) < 2.5 * (1 << 20)
+    assert b"often" in encoder.known  # it moved over
+
+
 def test_round_trip(spark, docs, tmp_path):
     path = str(tmp_path / "t")
     tokens.write_tokens(docs(), path, WORD, shard_bytes=64)
